@@ -308,3 +308,12 @@ def _side(df: DataFrame, side: str, column: str, name: str | None = None) -> Dat
 def _differing(a: Column, b: Column) -> Column:
     """Bits in which two sketches differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group the document of least doc_id, with all columns.
+
+    Rows without an id, or without words, are in no group and all stay; so do all rows of one kept id.
+    """
+    gone = near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
