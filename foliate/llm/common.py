@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,67 +88,141 @@ def by_size(texts: Iterable[str], limit: int = 2_000_000) -> Iterator[list[str]]
         yield run
 
 
-#: Encoders of this Python worker, by their parameters; tasks that follow find the words already encoded.
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
-def word_encoder(path: str, spaced: bool, width: int = 4) -> WordEncoder:
-    key = (path, spaced, width)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, spaced, width)
-    return _ENCODERS[key]
-
+#: Characters whose classes, case and normal form are the same in every Unicode version and library; a text with any
+#: other goes to the tokenizers library whole.
+UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]")
 
-class WordEncoder:
-    """Token ids of whole texts by a file of the tokenizers library, each distinct word encoded once in a while.
-
-    A text is cut before every single space that follows no white space. Both kinds of pre-tokenizer used here end a
-    pre-token there (a space starts one, or is dropped), so the ids of the parts joined are the ids of the text.
-    spaced: the space belongs to the part (byte-level BPE); else white space is dropped, and line feeds cut as well.
-    A text with a space after white space goes to the library as one piece. The memory holds at most `room` words
-    and starts afresh when full; words of over 200 characters are not kept.
+#: Encoders of this Python worker, by their parameters; tasks that follow find the words already encoded.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, width: int = 4) -> Encoder:
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 characters for
+    themselves, the other bytes in order from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+#: Stands for a word's end in rank tables. UTF-8 has no such byte.
+WORD_END = b"\xff"
+
+
+class Vocabulary:
+    """A BPE file of the tokenizers library as ranks of byte strings."""
+
+    def __init__(self, path: str):
+        import json
+
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        model, alphabet = content["model"], byte_alphabet()
+        self.special = [a["content"] for a in content["added_tokens"]]
+        self.suffix = model.get("end_of_word_suffix") or ""
+
+        def raw(token: str) -> bytes:
+            if self.suffix and token.endswith(self.suffix):
+                return bytes(alphabet[c] for c in token[: -len(self.suffix)]) + WORD_END
+            return bytes(alphabet[c] for c in token)
+
+        self.ranks = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.merges = [(raw(a), raw(b)) for a, b in pairs]
+
+    def by_ranks(self) -> bool:
+        """Whether merging by the rank of the joined bytes gives the ids that the file's merge list gives.
+
+        It does for every text if ids rise along the list and, for each merge, its token's bytes alone, merged by
+        lower ranks only, end as that merge's two parts: where two tokens meet in a text, the bytes below them
+        have merged as they would alone.
+        """
+        made = [self.ranks.get(a + b, -1) for a, b in self.merges]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            return False
+        for (a, b), limit in zip(self.merges, made, strict=True):
+            token = a + b
+            parts = [token[i : i + 1] for i in range(len(token))]
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(x + y, limit), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank >= limit:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if parts != [a, b]:
+                return False
+        return True
+
+
+class Encoder:
+    """Token ids of whole texts by a BPE file of the tokenizers library, as little-endian integers of `width` bytes.
+
+    The library itself spends most of its time on what is not needed here. Where merging by ranks provably gives the
+    same ids (see Vocabulary.by_ranks(); the driver looks once, with sure_ranks()), usual texts are merged by ranks:
+    byte-level vocabularies text by text; those with word ends piece by piece, each distinct word once while it is
+    kept. A text with an unusual character or a special string goes to the library. At most `room` words are kept,
+    none of over 100 characters.
     """
 
-    def __init__(self, path: str, spaced: bool, width: int = 4, room: int = 700_000):
+    def __init__(self, path: str, width: int = 4, room: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spaced, self.dtype, self.room = spaced, f"<u{width}", room
-        self.known: dict[str, bytes] = {"": b""} if not spaced else {}
-        self.odd = re.compile("[\\s\u0085᠎​﻿] ")
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        own = Vocabulary(path)
+        self.code, self.room, self.words = {2: "H", 4: "I"}[width], room, {"": b""}
+        self.special = re.compile("|".join(map(re.escape, own.special))) if own.special else None
+        self.spaced = not own.suffix
+        self.ranks = tiktoken.Encoding("own", pat_str=SPACED_PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+        self.find = regex.compile(WORD_PATTERN).findall
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not self.spaced:
-                cut.append(text.replace("\n", " ").split(" "))
-            elif self.odd.search(text):
-                cut.append(None)
-            else:
-                words = text.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                cut.append(words)
-        if len(self.known) > self.room:
-            self.known = {"": b""} if not self.spaced else {}
-        known = self.known
-        new = list({w for words in cut if words for w in words if w not in known})
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, ids in zip(part, self._packed(part), strict=True):
-                (known if len(word) <= 200 else once)[word] = ids
-        whole = iter(self._packed([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        if once:
-            known = {**known, **once}
-        return [b"".join(map(known.__getitem__, words)) if words is not None else next(whole) for words in cut]
+        usual = [not UNUSUAL.search(t) and not (self.special and self.special.search(t)) for t in texts]
+        rest = [t for t, u in zip(texts, usual, strict=True) if not u]
+        found = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        own = self._spaced if self.spaced else self._words
+        return [own(t) if u else array(self.code, next(found).ids).tobytes() for t, u in zip(texts, usual, strict=True)]
+
+    def _spaced(self, text: str) -> bytes:
+        return array(self.code, self.ranks.encode_ordinary(text)).tobytes()
+
+    def _words(self, text: str) -> bytes:
+        words, known = text.replace("\n", " ").split(" "), self.words
+        if len(known) > self.room:
+            known.clear()
+            known[""] = b""
+        out = []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                piece = self.ranks._core_bpe.encode_single_piece
+                ids = b"".join(array(self.code, piece(p.encode() + WORD_END)).tobytes() for p in self.find(word.lower()))
+                if len(word) <= 100:
+                    known[word] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+#: Pre-token patterns of the two kinds of files (fixed values).
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_SURE: set[str] = set()
+
+
+def sure_ranks(path: str) -> None:
+    """On the driver, once for each file: that Encoder's way holds for it."""
+    if path not in _SURE:
+        if not Vocabulary(path).by_ranks():
+            raise ValueError(f"the merges of {path} do not follow its ranks")
+        _SURE.add(path)

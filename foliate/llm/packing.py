@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, text_of, word_encoder, written
+from .common import encoder, gapless, sure_ranks, text_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -20,18 +20,20 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 2048) -
     remainder and all others are full. Repeated rows and repeated or null ids give pieces of their own.
     """
 
+    sure_ranks(tokenizer)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
         import numpy as np
 
-        encoder = word_encoder(tokenizer, spaced=True)
+        own = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
                 rows: list[tuple] = []
-                for doc, tokens in zip(ids[at : at + 256], encoder.encode(texts.slice(at, 256).to_pylist()), strict=True):
+                for doc, tokens in zip(ids[at : at + 256], own.encode(texts.slice(at, 256).to_pylist()), strict=True):
                     tokens += end
                     n = len(tokens) // 4
                     first = n % room or room
