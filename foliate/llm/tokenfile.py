@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, text_of, word_encoder
+from .common import encoder, new_path, sure_ranks, text_of
 
 HEADER = struct.Struct("<4s4BIIQqQ")
 EVERY = 64
@@ -130,11 +130,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, to
     width: 2 bytes an id for vocabularies of up to 65,536 ids, else 4.
     """
 
+    sure_ranks(tokenizer)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, end = word_encoder(tokenizer, spaced=False, width=width), np.array([end_id], f"<u{width}").tobytes()
+        own, end = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
         docs, arrays, size, number, before = [], [], 0, 0, 0
 
         def done() -> pa.RecordBatch:
@@ -143,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, to
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                for doc, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(rows.column(0).to_pylist(), own.encode(rows.column(1).to_pylist()), strict=True):
                     docs.append(doc)
                     arrays.append(ids + end)
                     size += len(arrays[-1]) // width
