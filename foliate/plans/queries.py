@@ -454,8 +454,9 @@ EDGE_COLUMNS = "book, from_id, to_id, resolved, module_ord, proc_line, line, ord
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, kept as a view reads them several times; lost parts are computed again."""
     a = _analysis(spark, sf_dir)
-    return callgraph.graph_nodes(a["procedures"]), a["edges"]
+    return callgraph.graph_nodes(a["procedures"]).persist(), a["edges"].persist()
 
 
 @query(f"{nodes_sql()}, {ALL_IDS}, {SUB_SQL} SELECT * FROM cg_nodes")
