@@ -31,7 +31,7 @@ SELECT word, pos, id FROM token SEMI JOIN (SELECT word, max(step) AS step FROM t
 """
 #: Ids and bytes of each word, by ordered aggregation over its tokens.
 ORDERED = """
-SELECT word, list(id ORDER BY pos) AS ids, string_agg(hex(v.piece), '' ORDER BY pos) AS decoded
+SELECT word, list(id ORDER BY pos) AS ids, unhex(string_agg(hex(v.piece), '' ORDER BY pos)) AS decoded
 FROM contracted JOIN vocabulary v USING (id) GROUP BY word ORDER BY word
 """
 
@@ -78,8 +78,9 @@ class Coder:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         self.con.unregister("pairs")
         self.con.unregister("tokens")
-        #: chunk of a text -> its ids as little-endian u32, and the bytes that they decode to
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        #: by chunk of a text: its ids as little-endian u32, and the bytes that they decode to
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
         import re
 
         self.odd = re.compile("[\\s\u0085᠎​﻿] ")
@@ -95,9 +96,11 @@ class Coder:
         ids = single[np.frombuffer(b"".join(words), np.uint8)]
         self.con.register("bytes_of", pa.table({"word": pa.array(number, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
         self.con.execute(f"CREATE OR REPLACE TEMP TABLE contracted AS {CONTRACT}")
-        out = self.con.sql(ORDERED).to_arrow_table()
+        out = self.con.sql(ORDERED).to_arrow_table().combine_chunks()
         self.con.unregister("bytes_of")
-        return [(np.array(a, "<u4").tobytes(), bytes.fromhex(b)) for a, b in zip(out.column("ids").to_pylist(), out.column("decoded").to_pylist(), strict=True)]
+        lists = out.column("ids").chunk(0)
+        ends, packed = (lists.offsets.to_numpy() * 4).tolist(), lists.values.to_numpy().astype("<u4").tobytes()
+        return [(packed[i:j], d) for i, j, d in zip(ends, ends[1:], out.column("decoded").to_pylist(), strict=False)]
 
     def contract_long(self, word: bytes) -> tuple[bytes, bytes]:
         import heapq
@@ -139,34 +142,42 @@ class Coder:
     def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, bytes decoded from them) of each text."""
         cut = [self.chunks(t) for t in texts]
-        if len(self.known) > self.room:
-            self.known = {}
-        known = self.known
-        new = {c: [m.encode() for m in self.find(c)] for c in {c for chunks in cut for c in chunks if c not in known}}
+        if len(self.ids) > self.room:
+            self.ids, self.decoded = {}, {}
+        ids, decoded = self.ids, self.decoded
+        new = set().union(*cut).difference(ids)
         if new:
             import struct
 
-            done: dict[bytes, tuple[bytes, bytes]] = {}
-            words: list[bytes] = []
-            for w in {w for ws in new.values() for w in ws}:
-                if w in self.ranks:
-                    done[w] = struct.pack("<I", self.ranks[w]), self.pieces[self.ranks[w]]
-                elif len(w) > self.longest:
-                    done[w] = self.contract_long(w)
+            done: dict[str, tuple[bytes, bytes]] = {}
+            words: dict[str, bytes] = {}
+            matches = {c: self.find(c) for c in new}
+            for w in set().union(*matches.values()):
+                raw = w.encode()
+                rank = self.ranks.get(raw)
+                if rank is not None:
+                    done[w] = struct.pack("<I", rank), self.pieces[rank]
+                elif len(raw) > self.longest:
+                    done[w] = self.contract_long(raw)
                 else:
-                    words.append(w)
-            for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                done.update(zip(part, self.contract(part), strict=True))
-            once: dict[str, tuple[bytes, bytes]] = {}
-            for c, ws in new.items():
-                (known if len(c) <= 200 else once)[c] = b"".join(done[w][0] for w in ws), b"".join(done[w][1] for w in ws)
-            if once:
-                known = {**known, **once}
-        out = []
-        for chunks in cut:
-            both = [known[c] for c in chunks]
-            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
+                    words[w] = raw
+            order = list(words)
+            for at in range(0, len(order), 60_000):
+                part = order[at : at + 60_000]
+                done.update(zip(part, self.contract([words[w] for w in part]), strict=True))
+            long: list[str] = []
+            for c, ws in matches.items():
+                if len(ws) == 1:
+                    ids[c], decoded[c] = done[ws[0]]
+                else:
+                    both = [done[w] for w in ws]
+                    ids[c], decoded[c] = b"".join([x[0] for x in both]), b"".join([x[1] for x in both])
+                if len(c) > 200:
+                    long.append(c)
+        out = [(b"".join(map(ids.__getitem__, chunks)), b"".join(map(decoded.__getitem__, chunks))) for chunks in cut]
+        if new:
+            for c in long:
+                del ids[c], decoded[c]
         return out
 
 
@@ -183,7 +194,7 @@ def bpe(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         own = coder(ranks, pattern)
         for batch in batches:
             at = 0
-            for run in by_size((t.as_py() for t in batch.column(1)), 1_000_000):
+            for run in by_size((t.as_py() for t in batch.column(1)), 4_000_000):
                 found = own.code(run)
                 ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(x[0] for x in found), "<i4")))
