@@ -74,6 +74,15 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str, chunks
     return numbered.join(F.broadcast(bases), [*group, "_chunk"]).withColumn(name, F.col("_base") + F.col("_rank")).drop("_chunk", "_base", "_rank")
 
 
+def share_of_hash(column: str, wanted: int, there: int) -> Column:
+    """Whether a row is in a share, by its hash, that holds `wanted` of `there` rows with much to spare.
+
+    A sample by the order of a hash takes its candidates through this first: else every partition would send as many
+    rows as the whole sample has."""
+    share = min(1.0, (2 * wanted + 100) / max(1, there))
+    return F.shiftrightunsigned(F.xxhash64(column), 11) < F.lit(int(share * 2**53))
+
+
 def by_size(texts: Iterable[str], limit: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of texts of about `limit` characters, so that what is built for a run stays small."""
     run: list[str] = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, text_of
+from .common import by_size, share_of_hash, text_of
 
 #: Punctuation that is cut from the ends of a word.
 EDGES = ".,;:!?\"'()[]{}…«»“”‘’¡¿*#%$&|-_"
@@ -155,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 900, clean: int = 270
     count once; labels without an id, a value or a document are left out."""
     usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     order = [F.xxhash64("doc_id"), "doc_id", "toxic"]
-    some = usable.filter("toxic = 1").orderBy(*order).limit(toxic).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(clean))
+    there = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
+    of_class = lambda c, n: usable.filter(F.col("toxic") == c).filter(share_of_hash("doc_id", n, there.get(c, 0))).orderBy(*order).limit(n)
+    some = of_class(1, toxic).unionByName(of_class(0, clean))
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(texts.collect())
