@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import share_of_hash
+
 #: Comments, elements whose content is no text, tags, text, and a stray sign.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!/?]?[a-z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-z][a-z0-9-]*)([^>]*)", re.I)
@@ -156,7 +158,8 @@ def extract(pages: DataFrame, labelled: int = 500) -> DataFrame:
     one by one; extra columns are left out; an empty table gives no rows.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    sample = pages.select("page_id", html.alias("html")).filter(F.contains("html", F.lit("<article"))).orderBy(F.xxhash64("page_id"), "page_id").limit(labelled)
+    own = pages.select("page_id", html.alias("html")).filter(share_of_hash("page_id", labelled, pages.count()))
+    sample = own.filter(F.contains("html", F.lit("<article"))).orderBy(F.xxhash64("page_id"), "page_id").limit(labelled)
     weights = learn([r[0] for r in sample.select("html").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
