@@ -30,7 +30,8 @@ RULES = (
     Rule("repeated_lines", lambda: F.col("n_dup_lines") * 2 > F.size(F.filter(F.split("text", "\n"), has_word)), "n_dup_lines * 2 > len(lines)"),
     Rule("word_length", lambda: (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 20), "word_chars < n_words * 2 OR word_chars > n_words * 20"),
     Rule("capitals", lambda: F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) * 2 > F.col("word_chars"), r"length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) * 2 > word_chars"),
-    Rule("few_distinct_words", lambda: F.size(F.array_distinct("words")) * 5 < F.col("n_words"), "len(list_distinct(words)) * 5 < n_words"),
+    # distinct words grow about as the square root of a text's length, with a factor of ten and more in prose
+    Rule("few_distinct_words", lambda: F.pow(F.size(F.array_distinct("words")), F.lit(2)) < F.col("n_words") * 9, "pow(len(list_distinct(words)), 2) < n_words * 9"),
 )
 
 
@@ -83,14 +84,17 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
 
 
-def cascade(rows: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 1000) -> list[Rule]:
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 1000) -> list[Rule]:
     """The rules in falling order of rejections per cost.
 
-    Both are estimated on those of the first `sample` measured rows that passed the base: a rule's cost is the time of a job
-    that evaluates it over them, less that of a job that evaluates nothing. The order decides only how soon a bad
-    text is left, never which texts are kept; so neither the sample nor a disturbed clock can change a result.
+    Both are estimated on those of the first `sample` texts that pass the base: a rule's cost is the time of a job
+    that evaluates it over them, less that of a job that evaluates nothing. The texts are taken partition after
+    partition until there are enough, so the sample's cost does not grow with the input. The order decides only how
+    soon a bad text is left, never which texts are kept; so neither the sample nor a disturbed clock can change a
+    result.
     """
-    part = rows.drop("row").limit(sample).cache()
+    texts = [(r[0],) for r in docs.select(text_of()).head(sample)]
+    part = measured(docs.sparkSession.createDataFrame(texts, "text string")).drop("row").cache()
     try:
         passed = part.filter(~F.col("base_failed"))
         total = passed.count()
@@ -120,7 +124,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     rows = measured(docs)
     kept = F.when(F.col("base_failed"), False)
-    for rule in cascade(rows, rules):
+    for rule in cascade(docs, rules):
         kept = kept.when(rule.rejects(), False)
     return rows.withColumn("kept", kept.otherwise(True))
 
