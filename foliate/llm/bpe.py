@@ -51,7 +51,7 @@ class Coder:
     contracted by a heap of pairs over a linked list instead, with the same rule and result.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 400_000, longest: int = 256):
+    def __init__(self, path: str, pattern: str, room: int = 700_000, longest: int = 256):
         import base64
 
         import duckdb
