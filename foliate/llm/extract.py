@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,23 +30,26 @@ MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comment
 
 @dataclass
 class Weights:
-    """Scores of words by the element that holds them, and of tags. Keys are an element's name and marks."""
+    """Scores of words by the element that holds them, and of tags. Keys are an element's name and marks. `inner` are
+    the scores of words inside elements that asides() takes out."""
 
     words: dict[str, float] = field(default_factory=dict)
+    inner: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
     word: float = 1.0
     tag: float = -0.5
     never: float = -10_000.0
 
 
-def scan(html: str) -> list[tuple[str, str, str, str]]:
-    """(kind, key, name, text): kind is open, close or text; a text's key is that of the element that holds it.
+def scan(html: str) -> tuple[list[tuple[str, str, str, str]], dict[int, int]]:
+    """(kind, key, name, text): kind is open, close or text; a text's key is that of the element that holds it. With
+    them, for each open token whose own end is told (by its end tag, or a next paragraph), the place after that end.
 
     Elements are closed by their own end tag or that of an element around them; an end tag that opens nothing is
     kept, but closes nothing.
     """
-    out = []
-    stack: list[tuple[str, str]] = []
+    out, ends = [], {}
+    stack: list[tuple[str, str, int]] = []
     for m in TOKEN.finditer(html):
         token = m.group()
         if m.group(1) or token.startswith("<!"):
@@ -58,9 +62,10 @@ def scan(html: str) -> list[tuple[str, str, str, str]]:
         if tag.group(1):
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             key = f"/{stack[at][1] if at is not None else name}"
+            out.append(("close", key, name, ""))
             if at is not None:
+                ends[stack[at][2]] = len(out)
                 del stack[at:]
-            out.append(("close", key, name, ""))
             continue
         marks = " ".join(filter(None, (x for found in MARK.findall(tag.group(3)) for x in found)))
         key = f"{name} {marks.lower()}".strip()
@@ -69,82 +74,141 @@ def scan(html: str) -> list[tuple[str, str, str, str]]:
             # a paragraph ends where the next one begins
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", "div", "article", "section", "body", "li", "td")), None)
             if at is not None and stack[at][0] == "p":
+                ends[stack[at][2]] = len(out) - 1
                 del stack[at:]
         if name not in EMPTY and not token.endswith("/>"):
-            stack.append((name, key))
-    return out
+            stack.append((name, key, len(out) - 1))
+        else:
+            ends[len(out) - 1] = len(out)
+    return out, ends
 
 
 def aside(key: str, name: str) -> bool:
     return name in ASIDE or (name == "header") or bool(MARKS.search(key[len(name) :]))
 
 
-def learn(pages: list[str], least: int = 3) -> Weights:
+def asides(tokens: list[tuple[str, str, str, str]], ends: dict[int, int]) -> tuple[dict[int, int], set[int]]:
+    """Elements that hold no main text, from the first token to after the last, and the bounds that no run may cross.
+
+    Bounds are the tags of article and main, and of aside elements around them, as a form around the whole page. What
+    lies inside an article is an aside all the same. html and body hold the page whatever their marks, and of an
+    element without its own end nothing tells how far it goes; such are neither.
+    """
+    named = [i for i, t in enumerate(tokens) if t[0] != "text" and t[2] in ("article", "main")]
+    opened = [i for i in named if tokens[i][0] == "open"]
+    covered = [(i, ends[i]) for i in opened if tokens[i][2] == "article" and i in ends]
+    out, bounds = {}, set(named)
+    for i, end in ends.items():
+        _, key, name, _ = tokens[i]
+        if name in ("html", "body", "article", "main") or not aside(key, name):
+            continue
+        if any(i < x < end for x in opened) and not any(b < i < e for b, e in covered):
+            bounds |= {i, end - 1}
+        else:
+            out[i] = end
+    return out, bounds
+
+
+def learn(pages: list[str]) -> Weights:
     """Weights from labelled pages: those with one article element, whose content is the label.
 
     Words score 1 where words in elements of that key are mostly inside articles, else -1. Tags score -0.5, those that
-    pages have more often inside -0.1 (a heading of one word is worth its two tags), and tags that `least` pages or more have only outside (the article's own, and those of menus, notices and the like) score
-    so far below that no run of words is worth crossing them. Without such pages, the elements that HTML names for it
-    divide the page.
+    pages have more often inside -0.1 (a heading of one word is worth its two tags). Elements that asides() takes out
+    of a page tell nothing of the rest, so a link or list in a menu does not speak against one in an article; they are
+    counted for the words inside such elements only.
     """
-    inside, outside, words_in, words_out = Counter(), Counter(), Counter(), Counter()
+    inside, outside, words_in, words_out, words_aside = Counter(), Counter(), Counter(), Counter(), Counter()
     for html in pages:
-        tokens = scan(html)
+        tokens, told = scan(html)
         begins = [i for i, t in enumerate(tokens) if t[0] == "open" and t[2] == "article"]
         ends = [i for i, t in enumerate(tokens) if t[0] == "close" and t[2] == "article"]
         if len(begins) != 1 or not ends or ends[-1] < begins[0]:
             continue
         within = range(begins[0] + 1, ends[-1])
         seen_in, seen_out = set(), set()
+        until = 0
+        out = asides(tokens, told)[0]
         for i, (kind, key, _, text) in enumerate(tokens):
+            until = max(until, out.get(i, 0))
             if kind == "text":
-                (words_in if i in within else words_out)[key] += len(text.split())
-            else:
+                (words_aside if i < until else words_in if i in within else words_out)[key] += len(text.split())
+            elif i >= until:
                 (seen_in if i in within else seen_out).add(key)
         inside.update(seen_in)
         outside.update(seen_out)
     w = Weights()
     w.words = {k: 1.0 if words_in[k] >= words_out[k] else -1.0 for k in {*words_in, *words_out}}
-    w.tags = {k: -0.1 for k, n in inside.items() if n > outside[k]} | {k: w.never for k, n in outside.items() if not inside[k] and n >= least}
+    w.inner = {k: 1.0 if words_in[k] >= words_out[k] + words_aside[k] else -1.0 for k in {*words_in, *words_out, *words_aside}}
+    w.tags = {k: -0.1 for k, n in inside.items() if n > outside[k]}
     return w
 
 
-def region(tokens: list[tuple[str, str, str, str]], w: Weights) -> tuple[int, int]:
-    """The first maximum-scoring run of tokens, by one scan; empty if no word scores."""
-    best, at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, key, name, text) in enumerate(tokens):
+def best_run(tokens: list[tuple[str, str, str, str]], words: dict[str, float], w: Weights, out: dict[int, int], bounds: set[int], begin: int, end: int) -> tuple[float, int, int]:
+    """Score and place of the first maximum-scoring run of tokens[begin:end], by one scan; elements in `out` score
+    nothing, and no run is worth crossing one of `bounds`."""
+    best, at, total, start = 0.0, (begin, begin), 0.0, begin
+    i = begin
+    while i < end:
+        if i in out:
+            i = out[i]
+            continue
+        kind, key, _, text = tokens[i]
         if kind == "text":
-            score = w.words.get(key, w.word) * len(text.split())
+            score = words.get(key, w.word) * len(text.split())
         else:
-            score = w.tags.get(key, w.never if aside(key.lstrip("/"), name) or name in ("article", "main") else w.tag)
+            score = w.never if i in bounds else w.tags.get(key, w.tag)
         if total <= 0:
             total, start = 0.0, i
         total += score
+        i += 1
         if total > best:
-            best, at = total, (start, i + 1)
-    return at
+            best, at = total, (start, i)
+    return best, *at
+
+
+def region(tokens: list[tuple[str, str, str, str]], w: Weights, out: dict[int, int], bounds: set[int]) -> tuple[int, int]:
+    """The best run outside the elements of `out`, spanning those in its middle; empty if no word scores.
+
+    A form, or an element told by its marks alone, may hold the page itself; its inner run is taken where it scores
+    more, unless the element is no form and lies in the middle of the run. Elements whose names say that they hold no
+    main text count only where nothing else has words.
+    """
+    found = best_run(tokens, w.words, w, out, bounds, 0, len(tokens))
+    inner = {b: best_run(tokens, w.inner, w, out, bounds, b + 1, e) for b, e in sorted(out.items()) if e > b + 1}
+    spanned = covered(len(tokens), [(b, e) for _, b, e in (found, *inner.values())])
+    within = covered(len(tokens), [(b + 1, out[b]) for b in inner if tokens[b][2] != "form"])
+    own = [run for b, run in inner.items() if not (within[b] if tokens[b][2] == "form" else spanned[b] or tokens[b][2] in ASIDE or tokens[b][2] == "header")]
+    found = max([found, *own], key=lambda x: x[0])
+    if not found[0]:
+        found = max([found, *inner.values()], key=lambda x: x[0])
+    return found[1], found[2]
+
+
+def covered(n: int, ranges: list[tuple[int, int]]) -> list[int]:
+    """For each of n places, how many of the ranges hold it."""
+    steps = [0] * (n + 1)
+    for begin, end in ranges:
+        steps[begin] += 1
+        steps[end] -= 1
+    return list(accumulate(steps))
 
 
 def main_text(html: str, w: Weights) -> str:
     """Blocks of the best region in page order, one a line; elements that hold no main text are left out of it."""
-    tokens = scan(html)
-    begin, end = region(tokens, w)
+    tokens, ends = scan(html)
+    out, bounds = asides(tokens, ends)
+    begin, end = region(tokens, w, out, bounds)
     blocks: list[list[str]] = [[]]
-    skip: list[str] = []
-    for kind, key, name, text in tokens[begin:end]:
-        if skip:
-            if kind == "open" and name == skip[0] and name not in EMPTY:
-                skip.append(name)
-            elif kind == "close" and name == skip[0]:
-                skip.pop()
-        elif kind == "open" and aside(key, name) and name not in EMPTY:
-            skip.append(name)
-        elif kind == "text":
-            blocks[-1].append(unescape(text))
-            continue
-        if name in BLOCKS:
+    skip = begin
+    for i in range(begin, end):
+        kind, _, name, text = tokens[i]
+        skip = max(skip, out.get(i, 0))
+        if kind == "text":
+            if i >= skip:
+                blocks[-1].append(unescape(text))
+        elif name in BLOCKS:
             blocks.append([])
-        elif name == "br" and not skip:
+        elif name == "br" and i >= skip:
             blocks[-1].append(" ")
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(line for line in lines if line)

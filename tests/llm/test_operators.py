@@ -264,6 +264,28 @@ def test_extract(spark):
     assert extract.extract(frame.limit(0)).count() == 0
 
 
+def test_extract_keeps_both_sides_of_asides():
+    pages = [f"<html><body><nav><ul><li><a>m</a></li></ul></nav><div class='ad'>advert {words(12)}</div><article><h1>H{i}</h1><p>{words(30)}</p></article><footer>f</footer></body></html>" for i in range(8)]
+    first, last, advert = words(30), words(40), words(200)
+    made = {
+        "article": f"<nav><ul><li><a>m</a></li></ul></nav><article><p>{first}</p>%s<p>{last}</p></article><footer>f</footer>",
+        "no article": f"<nav><ul><li><a>m</a></li></ul></nav><p>{first}</p>%s<p>{last}</p><footer>f</footer>",
+        "form around": f"<form><nav><ul><li><a>m</a></li></ul></nav><article><p>{first}</p>%s<p>{last}</p></article></form><footer>f</footer>",
+        "form around, no article": f"<p>hello</p><form><p>{first}</p>%s<p>{last}</p></form><p>bye</p>",
+        "marked body": f"<body class='sidebar'><p>{first}</p>%s<p>{last}</p></body>",
+    }
+    gone = ["<nav><a>next</a></nav>", "<img class='share'>", "<div class='ad'/>", "<div class='related'><div><p>more</p></div><p>x</p></div>", "</aside>", *(f"<{tag}><p>{advert}</p></{tag.split()[0]}>" for tag in ("aside", "div class=ad", "section class='newsletter'"))]
+    kept = {"<ul><li>a point</li><li>and <a href=x>a link</a></li></ul>": "a point\nand a link\n", "<p>see <a href=x>this</a></p>": "see this\n"}
+    assert extract.main_text(f"<div class='ad'>{words(9)}</div><article><p>Two words.</p></article>", extract.learn(pages)) == "Two words."
+    for w in (extract.learn(pages), extract.Weights()):
+        for name, page in made.items():
+            for middle in [*gone, *kept]:
+                assert extract.main_text(page % middle, w) == f"{first}\n{kept.get(middle, '')}{last}", (name, middle[:40])
+        assert extract.main_text(made["article"] % f"<aside><article><p>{advert}</p></article></aside>", w) == f"{first}\n{last}"
+        assert extract.main_text(f"<article><p>{first}</p><nav>links<p>{last}</p></article>", w) == f"{first}\nlinks\n{last}"
+        assert extract.main_text("<aside><p>only words</p></aside>", w) == "only words"
+
+
 def plain_best_fit(lengths, room):
     left = []
     for n in sorted(lengths, reverse=True):
