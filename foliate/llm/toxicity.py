@@ -20,8 +20,16 @@ EDGES = ".,;:!?\"'()[]{}…«»“”‘’¡¿*#%$&|-_"
 PAD = 50
 
 
-def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(EDGES) for x in text.lower().split()) if w]
+def words_of(text: str, long: int = 64, piece: int = 16, shared: int = 4) -> list[str]:
+    """Words between white space. A run of over `long` characters, as of a script without spaces or of words joined by
+    signs, is many words: it counts as pieces that share so many characters that every n-gram of it lies in one."""
+    out = []
+    for w in (x.strip(EDGES) for x in text.lower().split()):
+        if len(w) > long:
+            out += [w[i : i + piece] for i in range(0, len(w) - shared, piece - shared)]
+        elif w:
+            out.append(w)
+    return out
 
 
 def subwords(word: str, buckets: int, shortest: int = 3, longest: int = 5) -> list[int]:
@@ -29,7 +37,7 @@ def subwords(word: str, buckets: int, shortest: int = 3, longest: int = 5) -> li
     seen, such as a misspelling, still shares most n-grams with words that were."""
     from zlib import crc32
 
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     grams = [marked[i : i + n] for n in range(shortest, longest + 1) for i in range(len(marked) - n + 1)]
     return [crc32(g.encode()) % buckets for g in (f"={word}", *grams)]
 

@@ -211,6 +211,28 @@ def test_toxicity(spark, none):
     assert toxicity.keep_civil(frame.withColumn("score", frame.doc_id), labels).columns == ["doc_id", "text", "score"]
 
 
+def test_toxicity_in_long_runs():
+    rng = random.Random(8)
+    run = "".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=1000)))
+    for n in (65, 66, 75, 76, 77, 100, 1000):
+        pieces = toxicity.words_of(run[:n])
+        assert all(any(run[i : i + 5] in p for p in pieces) for i in range(n - 4)) and max(map(len, pieces)) <= 64
+    han = [chr(0x4E00 + i) for i in range(300)]
+    plain_run = lambda n: "".join(rng.choices(han, k=n))
+    bad = "猪狗蠢货滚蛋"
+
+    def made(i, toxic):
+        if i % 2:
+            return plain_run(rng.randrange(100, 200)) + (bad * 4 if toxic else plain_run(24)) + plain_run(50)
+        some = [rng.choice(VOCABULARY) for _ in range(40)]
+        return "_".join(some + (rng.choices(["idiot", "moron", "clown"], k=6) if toxic else rng.choices(VOCABULARY, k=6)) + some[:5])
+
+    rows = [(made(i, i % 3 == 0), int(i % 3 == 0)) for i in range(600)]
+    score = toxicity.Scorer(toxicity.fit([t for t, _ in rows[:450]], [y for _, y in rows[:450]])).score
+    assert all(len(t.split()) == 1 and min(t.find(x) for x in (bad, "idiot", "moron", "clown") if x in t) > 64 for t, y in rows if y)
+    assert np.mean([(score(t) >= 0.5) == y for t, y in rows[450:]]) > 0.95
+
+
 def test_token_counts(docs, none):
     library = Tokenizer.from_file(BYTE)
     expected = sorted(((d, len(t.encode()), n := len(library.encode(t, add_special_tokens=False)), n > 1024) for d, t in plain(docs)), key=repr)
