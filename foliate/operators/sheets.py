@@ -55,10 +55,12 @@ def read_cells(cells: DataFrame, reference: str | None = None, formulas: bool =
 
 
 def read_rows(cells: DataFrame) -> DataFrame:
-    """book, sheet, r, texts: a dense row of texts over the sheet's used columns, holes as null."""
-    span = cells.groupBy("book", "sheet").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    rows = cells.groupBy("book", "sheet", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "v_text"))).alias("m"))
-    return rows.join(span, ["book", "sheet"]).select("book", "sheet", "r", F.transform(F.sequence("c0", "c1"), lambda c: F.element_at("m", c)).alias("texts"))
+    """book, sheet, r, values: for every row of the sheet's used range a dense row of (value_type, v_num, v_text) over
+    its used columns, null where a cell is empty or missing."""
+    span = cells.groupBy("book", "sheet").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    every = span.withColumn("r", F.explode(F.sequence("r0", "r1")))
+    rows = cells.filter("value_type <> 'empty'").groupBy("book", "sheet", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("value_type", "v_num", "v_text")))).alias("m"))
+    return every.join(rows, ["book", "sheet", "r"], "left").select("book", "sheet", "r", F.transform(F.sequence("c0", "c1"), lambda c: F.element_at("m", c)).alias("values"))
 
 
 def list_formulas(cells: DataFrame, values: bool = False, most: int | None = 10_000) -> DataFrame:

@@ -247,7 +247,15 @@ def sheet_read_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CELLS_SQL}, grid AS (SELECT book, sheet, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT DISTINCT book, sheet, r FROM cells) JOIN (SELECT book, sheet, min(c) AS c0, max(c) AS c1 FROM cells GROUP BY ALL) USING (book, sheet))
 SELECT book, sheet, r, list(v_text ORDER BY c) AS texts FROM grid LEFT JOIN cells USING (book, sheet, r, c) GROUP BY ALL""")
 def sheet_read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets.read_rows(workbook_cells(spark, sf_dir))
+    rows = sheets.read_rows(workbook_cells(spark, sf_dir))
+    return rows.filter(F.exists("values", lambda v: v.isNotNull())).select("book", "sheet", "r", F.col("values.v_text").alias("texts"))
+
+
+@query(f"""WITH {CELLS_SQL}, span AS (SELECT book, sheet, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM cells GROUP BY ALL), every_row AS (SELECT book, sheet, c0, c1, unnest(range(r0, r1 + 1)) AS r FROM span), grid AS (SELECT book, sheet, r, unnest(range(c0, c1 + 1)) AS c FROM every_row)
+SELECT book, sheet, r, list(value_type ORDER BY c) AS value_types, list(v_num ORDER BY c) AS numbers, list(v_text ORDER BY c) AS texts FROM grid LEFT JOIN cells USING (book, sheet, r, c) GROUP BY ALL""")
+def sheet_read_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sheets.read_rows(workbook_cells(spark, sf_dir))
+    return rows.select("book", "sheet", "r", *(F.col(f"values.{c}").alias(name) for c, name in (("value_type", "value_types"), ("v_num", "numbers"), ("v_text", "texts"))))
 
 
 @query(f"WITH {CELLS_SQL} SELECT * FROM cells WHERE upper(sheet) = 'NATION'")

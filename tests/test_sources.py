@@ -5,6 +5,7 @@ import zipfile
 import pytest
 
 from foliate.errors import FoliateError
+from foliate.operators.sheets import read_rows
 from foliate.sources import macro_files as V
 from foliate.sources import office_files as O
 from foliate.sources.compound import CompoundFile, write_compound
@@ -71,6 +72,14 @@ def test_workbook_modules(tmp_path, spark):
         V.read_project(b"junk")
 
 
+def test_rows_hold_every_value(tmp_path, spark):
+    (tmp_path / "a.xlsx").write_bytes(workbook())
+    found = {r.r: r["values"] for r in read_rows(O.read_book_cells(spark, str(tmp_path)).withColumnRenamed("path", "book")).collect()}
+    assert sorted(found) == [0, 1, 2] and all(len(v) == 27 for v in found.values())
+    assert found[0][:3] == [("text", None, "Name"), ("number", 40.0, None), ("boolean", 1.0, None)] and found[0][3:] == [None] * 24
+    assert found[1] == [None] * 27 and found[2] == [None] * 26 + [("number", 42.0, None)]
+
+
 def test_cells_and_names():
     cells = O.book_cells(workbook())
     assert [(r, c, k, n, t, f) for _, _, _, r, c, k, n, t, f in cells] == [(0, 0, "text", None, "Name", None), (0, 1, "number", 40.0, None, None), (2, 26, "number", 42.0, None, "=B1+2"), (0, 2, "boolean", 1.0, None, None)]
