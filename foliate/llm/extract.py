@@ -222,8 +222,8 @@ def extract(pages: DataFrame, labelled: int = 500) -> DataFrame:
     one by one; extra columns are left out; an empty table gives no rows.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.select("page_id", html.alias("html")).filter(share_of_hash("page_id", labelled, pages.count()))
-    sample = own.filter(F.contains("html", F.lit("<article"))).orderBy(F.xxhash64("page_id"), "page_id").limit(labelled)
+    own = pages.select("page_id", html.alias("html")).filter(F.contains("html", F.lit("<article")))
+    sample = own.filter(share_of_hash("page_id", labelled, own.count())).orderBy(F.xxhash64("page_id"), "page_id").limit(labelled)
     weights = learn([r[0] for r in sample.select("html").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -286,6 +286,14 @@ def test_extract(spark):
     assert extract.extract(frame.limit(0)).count() == 0
 
 
+def test_extract_learns_from_few_labelled_pages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(extract, "learn", lambda pages: seen.append(len(pages)) or extract.Weights())
+    pages = spark.range(6000).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id % 100 = 0 THEN '<article>a</article>' ELSE '<p>a' END AS html")
+    extract.extract(pages, labelled=50)
+    assert seen == [50]
+
+
 def test_extract_keeps_both_sides_of_asides():
     pages = [f"<html><body><nav><ul><li><a>m</a></li></ul></nav><div class='ad'>advert {words(12)}</div><article><h1>H{i}</h1><p>{words(30)}</p></article><footer>f</footer></body></html>" for i in range(8)]
     first, last, advert = words(30), words(40), words(200)
