@@ -97,10 +97,25 @@ def similarity(differing: np.ndarray, samples: int) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * samples) * np.log(1 - share)
 
 
-def most_differing(threshold: float, samples: int) -> int:
-    """Bits that may differ where the similarity reaches the threshold, five standard deviations allowed."""
-    low = max(0.0, threshold - 5 * math.sqrt(threshold * (1 - threshold) / samples))
-    return int(np.flatnonzero(similarity(np.arange(SKETCH_BITS // 2), samples) >= low).max())
+def sketch_tail(threshold: float, samples: int) -> np.ndarray:
+    """For each number of bits, the chance that sketches of a pair at the threshold differ in more.
+
+    Each sample differs with a chance of 1 - threshold, and one that does turns two bits at random, which can meet."""
+    bits = np.arange(SKETCH_BITS + 1)
+    odd, found = np.zeros(SKETCH_BITS + 1), np.zeros(SKETCH_BITS + 1)
+    odd[0] = 1.0
+    for n in range(samples + 1):
+        ways = math.lgamma(samples + 1) - math.lgamma(n + 1) - math.lgamma(samples - n + 1)
+        found += odd * math.exp(ways + n * math.log(1 - threshold) + (samples - n) * math.log(threshold))
+        for _ in range(2):
+            up, down = odd * (1 - bits / SKETCH_BITS), odd * bits / SKETCH_BITS
+            odd = np.append(0.0, up[:-1]) + np.append(down[1:], 0.0)
+    return np.append(np.cumsum(found[::-1])[::-1][1:], 0.0)
+
+
+def most_differing(threshold: float, samples: int, miss: float = 1e-6) -> int:
+    """So many bits that a pair at the threshold differs in more with a chance of `miss` at most."""
+    return int(np.flatnonzero(sketch_tail(threshold, samples) <= miss)[0])
 
 
 def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:

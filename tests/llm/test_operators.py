@@ -149,6 +149,19 @@ def test_odd_sketch_estimates():
         assert abs(float(neardup.similarity(bits, 120)) - shared / (2000 - shared)) < 0.12
 
 
+def test_sketches_rarely_drop_a_pair_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for threshold in (0.8, 0.85):
+        samples = neardup.bands_for(threshold) * neardup.ROWS
+        tail = neardup.sketch_tail(threshold, samples)
+        most = neardup.most_differing(threshold, samples)
+        assert tail[most] <= 1e-6 < tail[most - 1]
+        turned = rng.binomial(samples, 1 - threshold, 4000) * 2
+        tried = np.array([np.count_nonzero(np.bincount(rng.integers(0, neardup.SKETCH_BITS, n), minlength=1) & 1) for n in turned])
+        for bits in (30, 45, 60, 70):
+            assert abs((tried > bits).mean() - tail[bits]) < 0.04
+
+
 def brute_quality(text):
     w = text.replace("\x1c", "\x1c").encode().split()
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
