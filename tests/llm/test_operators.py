@@ -93,9 +93,34 @@ def test_bpe(docs, none):
     expected = sorted(((d, len(ids := plain_coder.encode_ordinary(t)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in plain(docs)), key=repr)
     assert rows_of(bpe.bpe_digests(docs, MULTI, P.PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected
     assert bpe.bpe(none, MULTI, P.PATTERN).count() == 0
-    own = bpe.Coder(MULTI, P.PATTERN)
-    some = [bytes(RNG.choices(b"theandier ", k=RNG.randrange(1, 40))) for _ in range(200)]
-    assert own.contract(some) == [own.contract_long(w) for w in some]
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_bpe_of_words_of_any_length(block):
+    import tiktoken
+
+    one = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={}).encode_ordinary
+    han = lambda n: "".join(chr(RNG.randrange(0x4E00, 0x5800)) for _ in range(n))
+    latin = lambda n: "".join(RNG.choices("etaoinshrdlu0123456789", k=n))
+    words = [latin(RNG.randrange(1, 300)) for _ in range(100)] + [han(20) for _ in range(100)] + [latin(60) for _ in range(300)]
+    words += ["z" * 5000, "abc" * 3001, "thethen" * 999, latin(9000), han(4000), "the" * 50 + "z" * 333 + "the" * 50, "z", "the"]
+    own = bpe.Coder(MULTI, P.PATTERN, block=block, most_rows=20_000)
+    found = [np.frombuffer(x, "<u4").tolist() for x in own.contract([w.encode() for w in words])]
+    assert found == [one(w) for w in words]
+    assert own.decode([np.array(x, "<u4").tobytes() for x in [*found, []]]) == [w.encode() for w in [*words, ""]]
+
+
+def test_bpe_keeps_the_words_in_use():
+    own = bpe.Coder(MULTI, P.PATTERN, room=10)
+    first = [words(40) for _ in range(5)]
+    once = own.encode(first)
+    assert own.encode(first[:1] + ["other words come"]) == once[:1] + own.encode(["other words come"])
+    assert own.encode(first) == once and len(own.ids) < 220
+
+
+def test_bpe_refuses_ranks_without_merges():
+    with pytest.raises(ValueError):
+        bpe.merges({**{bytes([i]): i for i in range(256)}, b"abc": 256})
 
 
 def brute_components(pairs, k, percent):
