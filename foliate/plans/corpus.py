@@ -14,7 +14,11 @@ _BODY = """CASE l_linenumber % 7
  WHEN 0 THEN concat('P', CAST(l_partkey + 1 AS STRING))
  WHEN 1 THEN concat('Call X', l_returnflag, '(1)')
  WHEN 2 THEN concat('Worksheets("', l_linestatus, '").Range("A1").Value = Cells')
- WHEN 3 THEN 'Set o = CreateObject("ADODB.Connection")'
+ WHEN 3 THEN CASE l_partkey % 11
+  WHEN 0 THEN 'Shell "tool.exe /q"' WHEN 1 THEN 'Open "list.csv" For Output As #2' WHEN 2 THEN 'Kill "old.tmp"' WHEN 3 THEN 'Set f = New Scripting.FileSystemObject'
+  WHEN 4 THEN 'Set o = GetObject(, "Word.Application")' WHEN 5 THEN 'Set o = CreateObject("scripting.filesystemobject")' WHEN 6 THEN 'Dim r As ADODB.Recordset'
+  WHEN 7 THEN 'n = URLDownloadToFile(0, u, p, 0, 0)' WHEN 8 THEN 'Set o = CreateObject("WinHttp.WinHttpRequest.5.1")' WHEN 9 THEN 'If Dir("x") <> "" Then MkDir "y"'
+  ELSE 'Set o = CreateObject("ADODB.Connection")' END
  WHEN 4 THEN concat('y = 1 ', chr(39), ' Application.Run "Book!M', l_returnflag, '"')
  WHEN 5 THEN concat('Foo a, _', chr(10), '    b')
  ELSE concat('S', CAST(l_suppkey % 10 + 1 AS STRING), '.P', CAST(l_partkey AS STRING)) END"""

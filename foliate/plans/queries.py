@@ -67,10 +67,10 @@ def doc_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.outline(documents.page_paragraphs(table(spark, sf_dir, "pages")), "page_id")
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag AS text, l_linestatus = 'O' AS bold, l_quantity > 25 AS italic FROM lineitem),
-f AS (SELECT *, CASE WHEN lag((bold, italic)) OVER w IS NOT DISTINCT FROM (bold, italic) THEN 0 ELSE 1 END AS n FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, text, bold, italic)),
-g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, text, bold, italic ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS run_no FROM f)
-SELECT l_orderkey, run_no, string_agg(text, '' ORDER BY l_linenumber, text) AS text, bool_and(bold) AS bold, bool_and(italic) AS italic FROM g GROUP BY l_orderkey, run_no""")
+@query("""WITH c AS (SELECT l_orderkey, l_returnflag AS text, l_linestatus = 'O' AS bold, l_quantity > 25 AS italic, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus = 'O', l_quantity > 25) AS k FROM lineitem),
+f AS (SELECT *, CASE WHEN lag((bold, italic)) OVER (PARTITION BY l_orderkey ORDER BY k) IS NOT DISTINCT FROM (bold, italic) THEN 0 ELSE 1 END AS n FROM c),
+g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY l_orderkey ORDER BY k) - 1 AS INT) AS run_no FROM f)
+SELECT l_orderkey, run_no, string_agg(text, '' ORDER BY k) AS text, bool_and(bold) AS bold, bool_and(italic) AS italic FROM g GROUP BY l_orderkey, run_no""")
 def doc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_returnflag").alias("t"), (F.col("l_linestatus") == "O").alias("b"), (F.col("l_quantity") > 25).alias("i")).alias("at"), F.col("l_returnflag").alias("text"), (F.col("l_linestatus") == "O").alias("bold"), (F.col("l_quantity") > 25).alias("italic"))
     return documents.runs(rows, ["l_orderkey"])
@@ -361,7 +361,15 @@ with_literal AS (SELECT book, module_ord, module, proc, line, regexp_extract(who
 words AS (SELECT book, module_ord, module, proc, line, unnest(regexp_extract_all(original_text, '{API_RE}', 1)) AS api FROM body),
 counts AS (SELECT w.book, w.module_ord, w.module, w.proc, w.line, w.api, count(*) - coalesce((SELECT count(*) FROM with_literal g WHERE g.book = w.book AND g.module_ord = w.module_ord AND g.line = w.line AND g.api = w.api), 0) AS n FROM words w GROUP BY w.book, w.module_ord, w.module, w.proc, w.line, w.api),
 refs AS (SELECT * FROM with_literal UNION ALL SELECT book, module_ord, module, proc, line, api, CAST(NULL AS VARCHAR) FROM counts, range(n))"""
-DEPS_SQL = """deps AS (SELECT book, module_ord, module, proc, line, 'database' AS dependency, regexp_extract(original_text, '(?i)CreateObject\\s*\\(\\s*"([^"]+)"', 1) AS target, 'CreateObject' AS operation FROM body WHERE regexp_matches(original_text, '(?i)CreateObject\\s*\\(\\s*"ADODB\\.'))"""
+DEPS_SQL = r"""hits AS (SELECT book, module_ord, module, proc, line, text, lower(regexp_extract(original_text, '(?i)(CreateObject|GetObject)\s*\(\s*[^"]*"([^"]+)"', 1)) AS made, nullif(regexp_extract(original_text, '(?i)(CreateObject|GetObject)\s*\(\s*[^"]*"([^"]+)"', 2), '') AS program,
+  nullif(regexp_extract(text, '(?i)\b(Kill|MkDir|RmDir|ChDir|Dir|FileSystemObject|Workbooks\.Open|Workbooks\.OpenText|Scripting\.FileSystemObject)\b', 1), '') AS file_word,
+  CASE WHEN regexp_matches(text, '(?i)^\s*Shell\b') THEN 1 WHEN regexp_matches(text, '(?i)^\s*Open\s+') THEN 2 WHEN file_word IS NOT NULL THEN 3 WHEN program IS NOT NULL THEN 4
+       WHEN regexp_matches(text, '(?i)\b(ADODB\.|DAO\.|OpenDatabase)\b') THEN 5 WHEN regexp_matches(text, '(?i)\b(MSXML2\.XMLHTTP|WinHttp\.WinHttpRequest|URLDownloadToFile|InternetExplorer\.Application)\b') THEN 6 END AS rule FROM body),
+deps AS (SELECT book, module_ord, module, proc, line,
+  CASE rule WHEN 1 THEN 'shell' WHEN 2 THEN 'file' WHEN 3 THEN 'file' WHEN 5 THEN 'database' WHEN 6 THEN 'network'
+    ELSE CASE WHEN program ILIKE 'adodb.%' OR program ILIKE 'dao.%' THEN 'database' WHEN program ILIKE 'msxml2.%' OR program ILIKE 'winhttp.%' OR program ILIKE 'internetexplorer.application' THEN 'network' WHEN program ILIKE '%filesystemobject%' THEN 'file' ELSE 'automation' END END AS dependency,
+  CASE WHEN rule = 4 THEN program END AS target,
+  CASE rule WHEN 1 THEN 'Shell' WHEN 2 THEN 'Open' WHEN 3 THEN file_word WHEN 4 THEN CASE made WHEN 'getobject' THEN 'GetObject' ELSE 'CreateObject' END END AS operation FROM hits WHERE rule IS NOT NULL)"""
 
 
 def _analysis(spark: SparkSession, sf_dir: str, by: str = "supplier") -> dict[str, DataFrame]:
