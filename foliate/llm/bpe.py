@@ -102,7 +102,7 @@ class Coder:
     each time, until all seams hold or the stretch is the word.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 1_000_000, block: int = 64, most_rows: int = 3_000_000):
+    def __init__(self, path: str, pattern: str, room: int = 1_000_000, block: int = 64, most_rows: int = 1_000_000):
         import duckdb
         import numpy as np
         import regex
@@ -121,7 +121,7 @@ class Coder:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         self.con.unregister("pairs")
         self.con.unregister("tokens")
-        #: by chunk of a text: its ids as little-endian u32
+        #: by chunk of a text, and by match: its ids as little-endian u32
         self.ids: dict[str, bytes] = {}
         import re
 
@@ -226,8 +226,11 @@ class Coder:
             run()
         return out
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of documents, from their ids (little-endian u32)."""
+    def decode(self, ids: list[bytes], most: int = 1_000_000) -> list[bytes]:
+        """Bytes of documents, from their ids (little-endian u32), in batches of about `most` bytes of ids."""
+        return [x for some in by_size(ids, most) for x in self._decode(some)]
+
+    def _decode(self, ids: list[bytes]) -> list[bytes]:
         import numpy as np
 
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
@@ -264,14 +267,14 @@ class Coder:
         if len(ids) > self.room:
             ids = self.ids = {c: ids[c] for c in used if c in ids}
         new = used.difference(ids)
-        if new:
-            matches = {c: self.find(c) for c in new}
-            words = list(set().union(*matches.values()))
-            done = dict(zip(words, self.contract([w.encode() for w in words]), strict=True))
-            for c, ws in matches.items():
-                ids[c] = done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws])
+        matches = {c: self.find(c) for c in new}
+        words = list(set().union(*matches.values()).difference(ids))
+        ids.update(zip(words, self.contract([w.encode() for w in words]), strict=True))
+        for c, ws in matches.items():
+            if len(ws) != 1:
+                ids[c] = b"".join([ids[w] for w in ws])
         out = [b"".join(map(ids.__getitem__, chunks)) for chunks in cut]
-        for c in {c for c in new if len(c) > 200}:
+        for c in {c for c in (*new, *words) if len(c) > 200}:
             del ids[c]
         return out
 
