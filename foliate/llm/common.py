@@ -170,14 +170,18 @@ class Vocabulary:
 class Encoder:
     """Token ids of whole texts by a BPE file of the tokenizers library, as little-endian integers of `width` bytes.
 
-    The library itself spends most of its time on what is not needed here. Where merging by ranks provably gives the
-    same ids (see Vocabulary.by_ranks(); the driver looks once, with sure_ranks()), usual texts are merged by ranks:
-    byte-level vocabularies text by text; those with word ends piece by piece, each distinct word once while it is
-    kept. A text with an unusual character or a special string goes to the library. At most `room` words are kept,
-    none of over 100 characters.
+    Files with word ends: a usual text is cut at white space, and the library encodes each distinct piece (a match of
+    its pre-token pattern, in lower case) once while it is kept. Beyond `room` kept words only those of the texts at
+    hand stay; words of over 100 characters are not kept.
+
+    Byte-level files: the library spends most of its time on what is not needed here. Where merging by ranks provably
+    gives the same ids (see Vocabulary.by_ranks(); the driver looks once, with sure_ranks()), usual texts are merged
+    by ranks.
+
+    A text with an unusual character or a special string goes to the library whole.
     """
 
-    def __init__(self, path: str, width: int = 4, room: int = 600_000):
+    def __init__(self, path: str, width: int = 4, room: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -192,34 +196,59 @@ class Encoder:
         self.code, self.room, self.words = {2: "H", 4: "I"}[width], room, {"": b""}
         self.special = re.compile("|".join(map(re.escape, own.special))) if own.special else None
         self.spaced = not own.suffix
-        self.ranks = tiktoken.Encoding("own", pat_str=SPACED_PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+        self.ranks = tiktoken.Encoding("own", pat_str=SPACED_PATTERN, mergeable_ranks=own.ranks, special_tokens={}) if self.spaced else None
         self.find = regex.compile(WORD_PATTERN).findall
+        if own.suffix:
+            import numpy as np
+
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(own.suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         usual = [not UNUSUAL.search(t) and not (self.special and self.special.search(t)) for t in texts]
-        rest = [t for t, u in zip(texts, usual, strict=True) if not u]
-        found = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
-        own = self._spaced if self.spaced else self._words
-        return [own(t) if u else array(self.code, next(found).ids).tobytes() for t, u in zip(texts, usual, strict=True)]
+        rest = iter(self._library([t for t, u in zip(texts, usual, strict=True) if not u]))
+        own = iter((self._by_ranks if self.spaced else self._by_words)([t for t, u in zip(texts, usual, strict=True) if u]))
+        return [next(own if u else rest) for u in usual]
 
-    def _spaced(self, text: str) -> bytes:
-        return array(self.code, self.ranks.encode_ordinary(text)).tobytes()
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _words(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.words
+    def _by_ranks(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, self.ranks.encode_ordinary(t)).tobytes() for t in texts]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        cut, known = [t.replace("\n", " ").split(" ") for t in texts], self.words
+        used = set().union(*cut)
         if len(known) > self.room:
-            known.clear()
-            known[""] = b""
-        out = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                piece = self.ranks._core_bpe.encode_single_piece
-                ids = b"".join(array(self.code, piece(p.encode() + WORD_END)).tobytes() for p in self.find(word.lower()))
-                if len(word) <= 100:
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+            known = self.words = {"": b""} | {w: known[w] for w in used if w in known}
+        missing = used.difference(known)
+        plain = {w: w.lower() for w in missing if w.isascii() and w.isalpha()}
+        many = {w: self.find(w.lower()) for w in missing.difference(plain)}
+        new = list(set(plain.values()).union(*many.values()).difference(known))
+        known.update(zip(new, self._pieces(new), strict=True))
+        known.update(zip(plain, map(known.__getitem__, plain.values()), strict=True))
+        known.update([(w, b"".join([known[p] for p in its])) for w, its in many.items()])
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in [w for w in missing if len(w) > 100]:
+            for w in (word, plain.get(word), *many.get(word, ())):
+                known.pop(w, None)
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. The library takes them as one text with spaces between; a piece's ids end at a token that
+        ends a word. Should these not tell the pieces apart, each is a text of its own."""
+        import numpy as np
+
+        if not pieces:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            return self._library(pieces)
+        packed, size = ids.astype(f"<u{array(self.code).itemsize}").tobytes(), array(self.code).itemsize
+        at = [0, *(ends * size).tolist()]
+        return [packed[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 #: Pre-token patterns of the two kinds of files (fixed values).
@@ -230,8 +259,9 @@ _SURE: set[str] = set()
 
 
 def sure_ranks(path: str) -> None:
-    """On the driver, once for each file: that Encoder's way holds for it."""
+    """On the driver, once for each byte-level file: that Encoder's way holds for it."""
     if path not in _SURE:
-        if not Vocabulary(path).by_ranks():
+        own = Vocabulary(path)
+        if not own.suffix and not own.by_ranks():
             raise ValueError(f"the merges of {path} do not follow its ranks")
         _SURE.add(path)

@@ -33,6 +33,7 @@ class EliasFano:
 
     def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
         self.n, self.low, self.lows, self.highs, self.samples = n, low, lows, highs, samples
+        self._lows, self._highs = lows.tobytes(), highs.tobytes()
 
     @staticmethod
     def low_bits(n: int, largest: int) -> int:
@@ -65,19 +66,17 @@ class EliasFano:
         """Value i: from the sampled set bit before it, bytes are skipped by their population counts."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, left = int(self.samples[i // EVERY]), i % EVERY
-        byte, word = at // 8, int(self.highs[at // 8]) >> at % 8 << at % 8
+        highs, at, left = self._highs, int(self.samples[i // EVERY]), i % EVERY
+        byte, word = at // 8, highs[at // 8] >> at % 8 << at % 8
         while (found := word.bit_count()) <= left:
             left -= found
             byte += 1
-            word = int(self.highs[byte])
+            word = highs[byte]
         for _ in range(left):
             word &= word - 1
         high = byte * 8 + (word & -word).bit_length() - 1 - i
-        low = 0
-        for k in range(self.low):
-            bit = i * self.low + k
-            low |= (int(self.lows[bit // 8]) >> bit % 8 & 1) << k
+        bit = i * self.low
+        low = int.from_bytes(self._lows[bit // 8 : (bit + self.low + 7) // 8], "little") >> bit % 8 & (1 << self.low) - 1
         return high << self.low | low
 
     def all(self) -> np.ndarray:
@@ -180,12 +179,19 @@ def read_tokens(spark, path: str, ids: bool = True) -> DataFrame:
         for batch in batches:
             for part, before, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = Segment(payload.as_py())
-                bounds = own.bounds.all()
-                docs = [None] * own.n_null + (own.ids.all() + own.first).tolist()
-                tokens = own.tokens_all.astype("<u4")
-                out = {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(bounds[:-1] + bases[part] + before), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array([crc32(tokens[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.int64())}
+                # every boundary by select(): no table of 64-bit offsets is made
+                docs, starts, sizes, sums = [], [], [], []
+                begin = own.offset(0)
+                for i in range(own.n_docs):
+                    end = own.offset(i + 1)
+                    docs.append(own.doc(i))
+                    starts.append(bases[part] + before + begin)
+                    sizes.append(end - begin)
+                    sums.append(crc32(own.tokens_all[begin:end].astype("<u4")))
+                    begin = end
+                out = {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
                 if ids:
-                    out["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens.astype(np.int32)))
+                    out["ids"] = pa.ListArray.from_arrays(pa.array([0, *np.cumsum(sizes)], pa.int32()), pa.array(own.tokens_all.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
     return file.select("part", "before", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
