@@ -54,13 +54,9 @@ class Model:
         return float(self.odds[subwords(word, len(self.odds))].mean())
 
 
-def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 8, batch: int = 32, least: int = 4, rate: float = 0.25, seed: int = 7) -> Model:
-    """Embeddings and softmax trained together by Adagrad over shuffled batches; the bias is then set to part the
-    training texts' two classes best. Without both classes the model scores every text 0.5 or its only class."""
-    rng = np.random.default_rng(seed)
-    y = np.array(toxic, int)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(buckets, np.float32), 0.0 if not len(y) else (5.0 if y[0] else -5.0))
+def weighted(texts: list[str], buckets: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its buckets and how much of the text's mean each is. Buckets of fewer than `least` texts would
+    only tell those texts apart and are left out."""
     features: dict[str, np.ndarray] = {}
     docs = []
     for text in texts:
@@ -71,20 +67,24 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
         parts = [features[w] for w in found]
         sizes = np.array([len(p) for p in parts], np.int32)
         weight = np.repeat(counts / (counts.sum() + PAD) / np.maximum(sizes, 1), sizes) if len(parts) else np.zeros(0)
-        # one weight for each bucket of a text: how much of the text's mean it is
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         at, inverse = np.unique(flat, return_inverse=True)
         docs.append((at, np.bincount(inverse, weight, len(at)).astype(np.float32)))
-    del features
-    # buckets of few texts would only tell those texts apart; they, and buckets never met, stay at zero
     met = np.bincount(np.concatenate([at for at, _ in docs]), minlength=buckets) >= least
-    docs = [(at[met[at]], weight[met[at]]) for at, weight in docs]
-    e = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
-    e[~met] = 0
+    return [(at[met[at]], weight[met[at]]) for at, weight in docs]
+
+
+def descend(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, buckets: int, dim: int, epochs: int, batch: int, rate: float, penalty: float, seed: int) -> np.ndarray:
+    """Log odds by bucket: embeddings and softmax trained together by Adagrad over shuffled batches, the embeddings
+    with a penalty on their squares; both classes weigh alike. Buckets that no text has stay at zero."""
+    rng = np.random.default_rng(seed)
+    e = np.zeros((buckets, dim), np.float32)
+    met = np.unique(np.concatenate([at for at, _ in docs]))
+    e[met] = rng.uniform(-1 / dim, 1 / dim, (len(met), dim))
     w = rng.normal(0, 1, (dim, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     ge, gw, gb = np.full(buckets, 1e-8, np.float32), np.full((dim, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    share = np.array([0.5 / (y == c).mean() for c in (0, 1)], np.float32)
+    share = np.array([0.5 / max((y == c).mean(), 1e-9) for c in (0, 1)], np.float32)
     for _ in range(epochs):
         for some in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // batch)):
             at = np.concatenate([docs[i][0] for i in some])
@@ -100,7 +100,7 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
             p[np.arange(len(some)), y[some]] -= 1
             p *= share[y[some]][:, None]
             g = (p @ w.T)[doc] * weight[:, None]
-            grad = np.stack([np.bincount(local, g[:, k], len(known)) for k in range(dim)], 1).astype(np.float32)
+            grad = np.stack([np.bincount(local, g[:, k], len(known)) for k in range(dim)], 1).astype(np.float32) + penalty * rows
             ge[known] += (grad**2).mean(1)
             e[known] -= rate * grad / np.sqrt(ge[known])[:, None]
             dw, db = mean.T @ p, p.sum(0)
@@ -108,16 +108,41 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
             gb += db**2
             w -= rate * dw / np.sqrt(gw)
             b -= rate * db / np.sqrt(gb)
-    odds = (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
-    raw = np.array([float(odds[at] @ weight) for at, weight in docs])
-    return Model(odds, -best_cut(raw, y))
+    return (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
 
 
-def best_cut(raw: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap between neighbours that leaves the fewest texts on the wrong side."""
+def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 8, batch: int = 32, least: int = 4, rate: float = 0.25, penalty: float = 1e-4, folds: int = 3, missed: float = 2.0, seed: int = 7) -> Model:
+    """A model of all texts, its bias set where it parts best the scores that texts got from models that had not seen
+    them (each fold by a model of the others), since a model's scores of its own texts tell little of new ones. A
+    toxic text on the wrong side counts `missed` times a clean one. Without both classes (in each model) every text
+    scores 0.5, or its only class."""
+    y = np.array(toxic, int)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(buckets, np.float32), 0.0 if not len(y) else (5.0 if y[0] else -5.0))
+    docs = weighted(texts, buckets, least)
+    of = lambda some: descend([docs[i] for i in some], y[some], buckets, dim, epochs, batch, rate, penalty, seed)
+    raw = lambda odds, some: np.array([float(odds[docs[i][0]] @ docs[i][1]) for i in some])
+    # every fold has its share of either class
+    fold = np.empty(len(y), int)
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % folds
+    unseen = np.zeros(len(y))
+    if min((y == 0).sum(), (y == 1).sum()) >= folds:
+        for f in range(folds):
+            own = np.flatnonzero(fold == f)
+            unseen[own] = raw(of(np.flatnonzero(fold != f)), own)
+    odds = of(np.arange(len(y)))
+    if not unseen.any():
+        unseen = raw(odds, range(len(y)))
+    return Model(odds, -best_cut(unseen, y, missed))
+
+
+def best_cut(raw: np.ndarray, y: np.ndarray, missed: float = 1.0) -> float:
+    """The middle of the gap between neighbours that leaves the least weight of texts on the wrong side, a toxic one
+    weighing `missed`; of equal ones the widest gap."""
     order = np.argsort(raw, kind="stable")
     raw, y = raw[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(1 - y[::-1])])[::-1]
+    wrong = missed * np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(1 - y[::-1])])[::-1]
     inner = wrong[1:-1]
     least = np.flatnonzero(inner == inner.min())
     gaps = raw[least + 1] - raw[least]
@@ -188,13 +213,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, the model trained on labels that are not held out.
 
-    Null and empty texts have the score of a text without words. Repeated rows are scored one by one; an empty table
-    gives no rows. Without labels of both classes all texts score alike.
+    Null and empty texts have the score of a text without words; texts and runs of any length are scored whole. Equal
+    texts have equal scores, and a score of exactly 0.5 counts as toxic. Repeated rows are scored one by one, a null
+    id is that of the empty text for held_out, extra columns are left out, and an empty table gives no rows. Without
+    labels of both classes all texts score alike.
     """
     rows = scored(docs.select("doc_id", "text"), train(docs, labels))
     return rows.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below 0.5, with all their columns."""
+    """The rows of docs that score below 0.5, with all their columns; otherwise as toxicity(): null and empty texts
+    score alike, repeated rows stay or go together, columns named like this operator's own keep their values, and an
+    empty table stays empty."""
     return scored(docs, train(docs, labels)).filter("score < 0.5").select("row.*")

@@ -249,6 +249,27 @@ def test_toxicity(spark, none):
     assert toxicity.keep_civil(frame.withColumn("score", frame.doc_id), labels).columns == ["doc_id", "text", "score"]
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """On the middle tables: of held-out toxic documents over 0.7 are found (nearly half of them hold no insult at all),
+    and under one of 30 clean ones is flagged."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic, clean = ([r.predicted for r in found if r.toxic == c] for c in (1, 0))
+    assert len(toxic) > 90 and np.mean(toxic) > 0.7 and np.mean(clean) < 1 / 30
+
+
+def test_toxicity_of_repeated_and_long_texts(spark):
+    rows = [(i, words(40) + (" idiot" * 4 if i % 4 == 0 else "")) for i in range(200)]
+    rows += [rows[0], rows[0], (None, "idiot " * 5000 + words(20000)), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' AS Text2", "'x' AS predicted", "1 AS held_out")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] * 2, "doc_id long, toxic int")
+    found = toxicity.toxicity(frame, labels).collect()
+    assert len(found) == 204 and len({r.score for r in found if r.doc_id == 0}) == 1
+    kept = toxicity.keep_civil(frame, labels)
+    assert kept.columns == frame.columns and kept.filter("doc_id = 0").count() == 0
+
+
 def test_toxicity_in_long_runs():
     rng = random.Random(8)
     run = "".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=1000)))
