@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 from itertools import accumulate
 
@@ -15,30 +16,46 @@ from pyspark.sql import functions as F
 
 from .common import share_of_hash
 
+#: What may stand in a tag after its name: a value in quotes, with any sign, or anything but the tag's end.
+INSIDE = r"""(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*"""
 #: Comments, elements whose content is no text, tags, text, and a stray sign.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!/?]?[a-z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-z][a-z0-9-]*)([^>]*)", re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<[!/?]?[a-z]{INSIDE}(?:>|\Z)|[^<]+|<", re.S | re.I)
+TAG = re.compile(r"<(/?)([a-z][a-z0-9-]*)(.*)", re.S | re.I)
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that begin a block of their own (a fixed value of HTML).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements without an end tag (a fixed value of HTML).
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and marks (words of class, id or role) that hold no main text.
+#: Elements that hold no main text, by their names in HTML.
 ASIDE = frozenset("nav footer aside form button dialog menu head".split())
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Words in class, id or role that speak of no main text where the labelled pages do not tell (a prior, fixed values).
+PRIOR = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer masthead menu nav navbar "
+    "navigation newsletter notice popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored sponsors subscribe toolbar widget".split()
+)
+#: Pages that must agree before a mark counts as learnt.
+AGREE = 3
 
 
 @dataclass
 class Weights:
     """Scores of words by the element that holds them, and of tags. Keys are an element's name and marks. `inner` are
-    the scores of words inside elements that asides() takes out."""
+    the scores of words inside elements that asides() takes out. `marks` tells of learnt marks whether they speak of an
+    aside; others are asides if they are in PRIOR."""
 
     words: dict[str, float] = field(default_factory=dict)
     inner: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    marks: dict[str, bool] = field(default_factory=dict)
     word: float = 1.0
     tag: float = -0.5
-    never: float = -10_000.0
+
+
+@lru_cache(100_000)
+def marks_of(key: str, name: str) -> tuple[str, ...]:
+    """The words of an element's class, id and role, whole and by their parts."""
+    own = key[len(name) :].split()
+    return (*own, *(part for mark in own for part in re.split(r"[_-]+", mark) if part and part != mark))
 
 
 def scan(html: str) -> tuple[list[tuple[str, str, str, str]], dict[int, int]]:
@@ -83,11 +100,11 @@ def scan(html: str) -> tuple[list[tuple[str, str, str, str]], dict[int, int]]:
     return out, ends
 
 
-def aside(key: str, name: str) -> bool:
-    return name in ASIDE or (name == "header") or bool(MARKS.search(key[len(name) :]))
+def aside(key: str, name: str, w: Weights) -> bool:
+    return name in ASIDE or name == "header" or any(w.marks.get(mark, mark in PRIOR) for mark in marks_of(key, name))
 
 
-def asides(tokens: list[tuple[str, str, str, str]], ends: dict[int, int]) -> tuple[dict[int, int], set[int]]:
+def asides(tokens: list[tuple[str, str, str, str]], ends: dict[int, int], w: Weights) -> tuple[dict[int, int], set[int]]:
     """Elements that hold no main text, from the first token to after the last, and the bounds that no run may cross.
 
     Bounds are the tags of article and main, and of aside elements around them, as a form around the whole page. What
@@ -100,7 +117,7 @@ def asides(tokens: list[tuple[str, str, str, str]], ends: dict[int, int]) -> tup
     out, bounds = {}, set(named)
     for i, end in ends.items():
         _, key, name, _ = tokens[i]
-        if name in ("html", "body", "article", "main") or not aside(key, name):
+        if name in ("html", "body", "article", "main") or not aside(key, name, w):
             continue
         if any(i < x < end for x in opened) and not any(b < i < e for b, e in covered):
             bounds |= {i, end - 1}
@@ -112,22 +129,36 @@ def asides(tokens: list[tuple[str, str, str, str]], ends: dict[int, int]) -> tup
 def learn(pages: list[str]) -> Weights:
     """Weights from labelled pages: those with one article element, whose content is the label.
 
-    Words score 1 where words in elements of that key are mostly inside articles, else -1. Tags score -0.5, those that
-    pages have more often inside -0.1 (a heading of one word is worth its two tags). Elements that asides() takes out
-    of a page tell nothing of the rest, so a link or list in a menu does not speak against one in an article; they are
-    counted for the words inside such elements only.
+    A word scores the share of its element's words that lie inside articles less the share outside; a tag -0.5, less
+    by 0.4 times the share of its pages that have it more inside. A mark is learnt from AGREE pages on: one that only
+    elements outside articles bear speaks of an aside, one that more pages have inside than outside does not. Elements
+    that asides() takes out of a page tell nothing of the rest, so a link or list in a menu does not speak against one
+    in an article; they are counted for the words inside such elements only.
     """
-    inside, outside, words_in, words_out, words_aside = Counter(), Counter(), Counter(), Counter(), Counter()
+    labelled = []
     for html in pages:
         tokens, told = scan(html)
         begins = [i for i, t in enumerate(tokens) if t[0] == "open" and t[2] == "article"]
         ends = [i for i, t in enumerate(tokens) if t[0] == "close" and t[2] == "article"]
-        if len(begins) != 1 or not ends or ends[-1] < begins[0]:
-            continue
-        within = range(begins[0] + 1, ends[-1])
+        if len(begins) == 1 and ends and ends[-1] > begins[0]:
+            labelled.append((tokens, told, range(begins[0] + 1, ends[-1])))
+    w = Weights()
+    marks_in, marks_out = Counter(), Counter()
+    for tokens, _, within in labelled:
+        seen_in, seen_out = set(), set()
+        for i, (kind, key, name, _) in enumerate(tokens):
+            if kind == "open" and name not in ("html", "body", "article", "main"):
+                around = i < within.start and any(t[0] == "close" and t[1] == f"/{key}" for t in tokens[within.stop :])
+                if not around:
+                    (seen_in if i in within else seen_out).update(marks_of(key, name))
+        marks_in.update(seen_in)
+        marks_out.update(seen_out)
+    w.marks = {m: False for m, n in marks_in.items() if n >= AGREE and n > marks_out[m]} | {m: True for m, n in marks_out.items() if n >= AGREE and not marks_in[m]}
+    inside, outside, words_in, words_out, words_aside = Counter(), Counter(), Counter(), Counter(), Counter()
+    for tokens, told, within in labelled:
         seen_in, seen_out = set(), set()
         until = 0
-        out = asides(tokens, told)[0]
+        out = asides(tokens, told, w)[0]
         for i, (kind, key, _, text) in enumerate(tokens):
             until = max(until, out.get(i, 0))
             if kind == "text":
@@ -136,16 +167,16 @@ def learn(pages: list[str]) -> Weights:
                 (seen_in if i in within else seen_out).add(key)
         inside.update(seen_in)
         outside.update(seen_out)
-    w = Weights()
-    w.words = {k: 1.0 if words_in[k] >= words_out[k] else -1.0 for k in {*words_in, *words_out}}
-    w.inner = {k: 1.0 if words_in[k] >= words_out[k] + words_aside[k] else -1.0 for k in {*words_in, *words_out, *words_aside}}
-    w.tags = {k: -0.1 for k, n in inside.items() if n > outside[k]}
+    share = lambda one, other: (one - other) / (one + other) if one + other else 0.0
+    w.words = {k: share(words_in[k], words_out[k]) or 0.1 for k in {*words_in, *words_out}}
+    w.inner = {k: share(words_in[k], words_out[k] + words_aside[k]) or 0.1 for k in {*words_in, *words_out, *words_aside}}
+    w.tags = {k: -0.5 + 0.4 * max(0.0, share(inside[k], outside[k])) for k in {*inside, *outside}}
     return w
 
 
-def best_run(tokens: list[tuple[str, str, str, str]], words: dict[str, float], w: Weights, out: dict[int, int], bounds: set[int], begin: int, end: int) -> tuple[float, int, int]:
+def best_run(tokens: list[tuple[str, str, str, str]], words: dict[str, float], w: Weights, out: dict[int, int], bounds: set[int], never: float, begin: int, end: int) -> tuple[float, int, int]:
     """Score and place of the first maximum-scoring run of tokens[begin:end], by one scan; elements in `out` score
-    nothing, and no run is worth crossing one of `bounds`."""
+    nothing, and crossing one of `bounds` scores `never`."""
     best, at, total, start = 0.0, (begin, begin), 0.0, begin
     i = begin
     while i < end:
@@ -156,7 +187,7 @@ def best_run(tokens: list[tuple[str, str, str, str]], words: dict[str, float], w
         if kind == "text":
             score = words.get(key, w.word) * len(text.split())
         else:
-            score = w.never if i in bounds else w.tags.get(key, w.tag)
+            score = never if i in bounds else w.tags.get(key, w.tag)
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -173,8 +204,10 @@ def region(tokens: list[tuple[str, str, str, str]], w: Weights, out: dict[int, i
     more, unless the element is no form and lies in the middle of the run. Elements whose names say that they hold no
     main text count only where nothing else has words.
     """
-    found = best_run(tokens, w.words, w, out, bounds, 0, len(tokens))
-    inner = {b: best_run(tokens, w.inner, w, out, bounds, b + 1, e) for b, e in sorted(out.items()) if e > b + 1}
+    # crossing a bound costs more than all words of the page bring in
+    never = -1.0 - sum(len(t[3].split()) for t in tokens)
+    found = best_run(tokens, w.words, w, out, bounds, never, 0, len(tokens))
+    inner = {b: best_run(tokens, w.inner, w, out, bounds, never, b + 1, e) for b, e in sorted(out.items()) if e > b + 1}
     spanned = covered(len(tokens), [(b, e) for _, b, e in (found, *inner.values())])
     within = covered(len(tokens), [(b + 1, out[b]) for b in inner if tokens[b][2] != "form"])
     own = [run for b, run in inner.items() if not (within[b] if tokens[b][2] == "form" else spanned[b] or tokens[b][2] in ASIDE or tokens[b][2] == "header")]
@@ -196,7 +229,7 @@ def covered(n: int, ranges: list[tuple[int, int]]) -> list[int]:
 def main_text(html: str, w: Weights) -> str:
     """Blocks of the best region in page order, one a line; elements that hold no main text are left out of it."""
     tokens, ends = scan(html)
-    out, bounds = asides(tokens, ends)
+    out, bounds = asides(tokens, ends, w)
     begin, end = region(tokens, w, out, bounds)
     blocks: list[list[str]] = [[]]
     skip = begin
@@ -218,7 +251,8 @@ def extract(pages: DataFrame, labelled: int = 500) -> DataFrame:
     """page_id, url, text, n_chars of every page's whole html.
 
     Weights are learned on the driver from at most `labelled` pages with an article element, by the order of a hash
-    of page_id. Null html counts as empty and gives an empty text, as do pages without words; repeated rows are taken
+    of page_id. Null html counts as empty and gives an empty text, as do pages without words; a page of any length is
+    scanned whole; of runs of equal score the first is taken; equal pages give equal texts, and repeated rows are taken
     one by one; extra columns are left out; an empty table gives no rows.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
