@@ -26,8 +26,8 @@ def counter(path: str) -> PieceCounter:
 class PieceCounter:
     """Pieces of each distinct pre-token, counted once, and their sums over the frequencies of a text.
 
-    The library reads special strings first; a text is cut at them, each is one token. The table of counts holds at
-    most `room` pre-tokens and starts afresh beyond; pre-tokens of over 200 characters are counted but not kept.
+    The library reads special strings first; a text is cut at them, each is one token. Beyond `room` pre-tokens the
+    table of counts keeps only those of the texts at hand; pre-tokens of over 200 characters are counted but not kept.
     """
 
     def __init__(self, path: str, room: int = 1_000_000):
@@ -63,7 +63,7 @@ class PieceCounter:
     def count(self, texts: list[str]) -> list[int]:
         each = [self.frequencies(text) for text in texts]
         if len(self.pieces) > self.room:
-            self.pieces = {}
+            self.pieces = {p: self.pieces[p] for p in set().union(*(f for f, _ in each)) if p in self.pieces}
         pieces = self.pieces
         new = list({p for f, _ in each for p in f if p not in pieces})
         once: dict[str, int] = {}
@@ -79,8 +79,9 @@ class PieceCounter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
-    Null texts count as empty (0 tokens); repeated rows and ids are counted one by one; extra columns are left out;
-    an empty table gives no rows. Nothing is exchanged: the distinct pre-tokens are those that a worker has met.
+    Null texts count as empty (0 tokens); texts of any length are counted whole, and a text of exactly `limit` tokens
+    is not over it; repeated rows and ids are counted one by one; extra columns are left out; an empty table gives no
+    rows. Nothing is exchanged: the distinct pre-tokens are those that a worker has met.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
