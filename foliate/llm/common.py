@@ -58,14 +58,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def gapless(df: DataFrame, group: list[str], order: list[str], name: str, chunks: int = 64) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: list[str], name: str, chunks: int | Column = 64) -> DataFrame:
     """Number the rows of each group from 0 without gaps.
 
-    Each group is dealt into `chunks` parts by a hash of the order columns, numbered part by part; a part's base
-    is the count of the parts before it. The table of counts has at most groups x chunks rows, whatever the input,
-    so it is broadcast. The order inside a group is (part, order columns), the same on every run.
+    Each group is dealt into `chunks` parts (a number, or a column that is one for each group) by a hash of the order
+    columns, numbered part by part; a part's base is the count of the parts before it. The table of counts has a row
+    a part, as many as `chunks` says and never a row of the input, so it is broadcast. The order inside a group is
+    (part, order columns), the same on every run; rows that are equal in all order columns share a part.
     """
-    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
+    chunks = F.lit(chunks) if isinstance(chunks, int) else chunks
+    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), chunks).cast("int"))
     counts = df.groupBy(*group, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*group, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -74,6 +76,29 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str, chunks
     return numbered.join(F.broadcast(bases), [*group, "_chunk"]).withColumn(name, F.col("_base") + F.col("_rank")).drop("_chunk", "_base", "_rank")
 
 
+def hot_keys(df: DataFrame, key: str, most: int = 100) -> list:
+    """The keys that hold over 1 / `most` of df's rows: fewer than `most`, whatever the rows."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.count()
+    return [r[0] for r in counts.filter(F.col("_n") > total // most + 1000).select(key).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None, size: str | None = None) -> DataFrame:
+    """left joined to right, whose keys are unique, where one key may hold a third of left's rows.
+
+    Rows of hot keys (at most 100) stay where they are and meet right's rows of those keys by broadcast: at most 100
+    rows. `size` names a binary column of right whose length counts: keys of over 256 KB there go with the others.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    if hot and size is not None:
+        hot = [r[0] for r in right.filter(F.col(key).isin(hot) & (F.octet_length(size) <= 1 << 18)).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    near = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
+    return near.unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
+
+
 def share_of_hash(column: str, wanted: int, there: int) -> Column:
     """Whether a row is in a share, by its hash, that holds `wanted` of `there` rows with much to spare.
 

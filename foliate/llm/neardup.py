@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, text_of, written
+from .common import discard, join_hot, text_of, written
 
 ROWS = 5
 SKETCH_BITS = 512
@@ -188,7 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node to its least neighbour, follows pointers twice, and puts the pointed-to nodes in the
     edges' place, until none are left: edges that came together are dropped, so rounds shrink. Every round's tables
-    are written to the shared folder; nothing comes to the driver but whether edges are left.
+    are written to the shared folder; nothing comes to the driver but whether edges are left, and which nodes (fewer
+    than 100) hold over a hundredth of the rows.
     """
     maps: list[DataFrame] = []
     left = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -198,10 +199,11 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             nearest = written(nearest, "pointers")
             onward = nearest.filter("to <> node").select(F.col("node").alias("to"), F.col("to").alias("onward"))
-            nearest = nearest.join(onward, "to", "left").select("node", F.coalesce("onward", "to").alias("to"))
+            nearest = join_hot(nearest, onward, "to", "left").select("node", F.coalesce("onward", "to").alias("to"))
         nearest = written(nearest, "pointers")
         maps.append(nearest)
-        ends = left.join(nearest.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(nearest.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        ends = join_hot(left, nearest.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        ends = ends.join(nearest.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         left = written(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not maps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -214,19 +216,32 @@ def components(edges: DataFrame) -> DataFrame:
 def across(members: DataFrame, percent: int, samples: int, block: int = 256) -> DataFrame:
     """a, b: components of linked members of one bucket that were apart, of (bucket, node, component, sketch, bands, shingles).
 
-    A bucket is dealt into blocks of about `block` members, and each two blocks meet in a group of their own, so a
-    group is bounded whatever the bucket. A pair is tested only in the first bucket that it shares, only while its
-    components are apart, most alike sketches first; a group gives back the links that joined components, which are
-    fewer than its members, and never its pairs.
+    Most of a large bucket is one component, and its members need not be held against each other. So the bucket's
+    largest component is dealt into parts of about `block` members, and so are all its other members; each part of the
+    one meets each part of the others, and the others' parts meet one another. A group is bounded whatever the bucket,
+    and the work is linear in the largest component. A pair is tested only in the first bucket that it shares, only
+    while its components are apart, most alike sketches first; a group gives back the links that joined components,
+    which are fewer than its members, and never its pairs.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
-    dealt = members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sketch", "bands", "shingles")
+    by_component = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by_component.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("n"))
+    parts = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sizes = sizes.select("bucket", F.col("big.component").alias("bulk"), parts(F.col("big.n")).alias("bulk_parts"), parts(F.col("n") - F.col("big.n")).alias("rest_parts"))
+    dealt = join_hot(members, sizes, "bucket")
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    is_bulk = F.col("component") == F.col("bulk")
+    part = F.pmod(F.xxhash64("node"), F.when(is_bulk, F.col("bulk_parts")).otherwise(F.col("rest_parts"))).cast("int")
+    dealt = dealt.withColumn("part", part)
+    with_rest = F.transform(up_to("rest_parts"), lambda j: place("bulk", F.col("part"), j))
+    with_bulk = F.transform(up_to("bulk_parts"), lambda i: place("bulk", i, F.col("part")))
+    among = F.transform(up_to("rest_parts"), lambda o: place("rest", F.least("part", o), F.greatest("part", o)))
+    dealt = dealt.withColumn("at", F.explode(F.when(is_bulk, with_rest).otherwise(F.concat(with_bulk, among))))
+    dealt = dealt.select("bucket", "at.kind", "at.i", "at.j", F.when(is_bulk, -1).otherwise(F.col("part")).alias("part"), "node", "component", "sketch", "bands", "shingles")
     most = most_differing(percent / 100, samples)
 
     def meet(group: pa.Table) -> pa.Table:
-        bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        bucket, kind, i, j = (group.column(c)[0].as_py() for c in ("bucket", "kind", "i", "j"))
         node, part, component = (group.column(c).to_numpy() for c in ("node", "part", "component"))
         found: list[tuple[int, int]] = []
         if len(np.unique(component)) > 1:
@@ -243,7 +258,9 @@ def across(members: DataFrame, percent: int, samples: int, block: int = 256) ->
 
             x, y = np.triu_indices(len(node), 1)
             use = component[x] != component[y]
-            if i != j:
+            if kind == "bulk":
+                use &= (part[x] < 0) != (part[y] < 0)
+            elif i != j:
                 use &= part[x] != part[y]
             x, y = x[use], y[use]
             bits = np.zeros(len(x), np.int64)
@@ -262,7 +279,7 @@ def across(members: DataFrame, percent: int, samples: int, block: int = 256) ->
                     found.append((int(component[x[k]]), int(component[y[k]])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long")
+    return dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -275,8 +292,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tell most unlike pairs, full sets decide the rest. Where a bucket still holds several components, its members
     meet block by block (see across()), so that no link between different texts that share a band is lost.
 
+    A key (set, bucket, centre, node) that holds over a hundredth of a join's rows is joined by broadcast of its one
+    row on the other side, so that its rows stay spread.
+
     Null and empty texts, and rows with a null id, are linked with nothing (a null id's component is null, kept
-    true). Rows with one id are one document. Extra columns are left out; an empty table gives no rows.
+    true). Rows with one id are one document. A text of any length gives its whole set. A pair exactly at the
+    threshold is linked; of equal texts the least doc_id stays. Extra columns are left out; an empty table gives no
+    rows.
     """
     threshold = percent / 100
     bands = bands_for(threshold)
@@ -288,30 +310,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = written(own.select(F.col("doc_id").alias("node"), "bands", "sketch"), "node-signatures")
 
     entries = own.select("node", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("bucket", "center")
-    members = written(entries.join(buckets, "bucket"), "members")
+    buckets = entries.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("center <> last")
+    buckets = written(buckets.select("bucket", "center", "n"), "buckets")
+    total = own.count() * bands
+    hot = [r[0] for r in buckets.filter(F.col("n") > total // 1000 + 1000).select("bucket").collect()]  # fewer than 1000
+    members = written(join_hot(entries, buckets.select("bucket", "center"), "bucket", hot=hot), "members")
     inside = members.select("node").distinct()
     sets = written(shingle_sets(docs.join(inside.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).dropDuplicates(["node"]), "sets")
 
     most = most_differing(threshold, bands * ROWS)
     sketches = own.select("node", "sketch")
-    pairs = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(_side(sketches, "a", "sketch"), "a").join(_side(sketches, "b", "sketch"), "b")
-    pairs = pairs.filter(_differing(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b")
-    pairs = pairs.join(_side(sets, "a", "shingles", "set"), "a").join(_side(sets, "b", "shingles", "set"), "b")
+    pairs = written(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = join_hot(pairs, _side(sketches, "a", "sketch"), "a").join(_side(sketches, "b", "sketch"), "b")
+    pairs = written(pairs.filter(_differing(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b"), "pairs")
+    pairs = join_hot(pairs, _side(sets, "a", "shingles", "set"), "a", size="set_a").join(_side(sets, "b", "shingles", "set"), "b")
     first = written(components(confirmed(pairs, percent)), "components")
 
     placed = members.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    apart = placed.join(mixed, "bucket").join(own, "node").join(sets, "node")
+    apart = written(join_hot(placed, mixed, "bucket", hot=hot), "apart").join(own, "node").join(sets, "node")
     second = components(across(apart, percent, bands * ROWS)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
 
     labels = first.unionByName(second.select(F.col("component").alias("node"), "component")).distinct()
     labels = labels.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component")).filter("component <> node")
     labels = written(labels, "labels")
-    discard(docs.sparkSession, own, members, sets, first)
+    discard(docs.sparkSession, own, buckets, members, sets, first)
     of_set = nodes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    out = join_hot(signed.select("doc_id", "n_shingles", "set_id"), of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -328,7 +353,8 @@ def _differing(a: Column, b: Column) -> Column:
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Of each group the document of least doc_id, with all columns.
 
-    Rows without an id, or without words, are in no group and all stay; so do all rows of one kept id.
+    Rows without an id, or without words, are in no group and all stay; so do all rows of one kept id. Columns named
+    like this operator's own keep their values, and an empty table stays empty.
     """
     gone = near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
