@@ -134,12 +134,14 @@ def places(layouts: list[tuple[tuple, int]]) -> dict[int, list[tuple[int, int, i
     return out
 
 
-def pack(cut: DataFrame, room: int = 2048, most_docs: int | None = None, most_cost: int | None = None, score: str = "norm", chunks: int = 16) -> DataFrame:
+def pack(cut: DataFrame, room: int = 2048, most_docs: int | None = None, most_cost: int | None = None, score: str = "norm", rows_a_chunk: int = 200_000) -> DataFrame:
     """sequence_id and offset for each row of cut (a written table with a length of 1 to `room`).
 
     Only the counts of the at most `room` lengths come to the driver; the bins are planned there for the whole table
     at once. Each row's rank within its length then names its place, looked up in runs whose number is bounded by
-    the lengths too. An empty table gives an empty result.
+    the lengths too: placing a class adds at most two kinds of bins to those that were, so there are at most twice as
+    many kinds as lengths, whatever the rows. Equal pieces are alike, so any of them may take a place. An empty table
+    gives an empty result.
     """
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     bins = Bins(room, most_docs, most_cost, score)
@@ -147,6 +149,9 @@ def pack(cut: DataFrame, room: int = 2048, most_docs: int | None = None, most_co
         bins.add(length, counts[length])
     at = places(bins.layouts())
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in cut.columns]
+    # most pieces of long documents have one length, so a length is dealt into as many parts as its pieces ask for
+    parts = lambda n: max(min(64, n // 1000 + 1), n // rows_a_chunk + 1)
+    chunks = F.get(F.array(*[F.lit(parts(counts.get(n, 0))) for n in range(room + 1)]), F.col("length").cast("int"))
     ranked = gapless(cut, ["length"], order, "_rank_in_length", chunks)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +181,8 @@ def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 2048,
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: documents packed into sequences of `room` tokens.
 
     The texts are encoded once; the pieces (without their ids) are written to the shared folder, as both the plan and
-    the result read them. Null texts count as empty, extra columns are left out, an empty table gives no rows.
+    the result read them. Null texts count as empty, a text of any length is cut into pieces that are all packed,
+    repeated rows give pieces of their own, extra columns are left out, an empty table gives no rows.
     """
     cut = written(pieces(docs, tokenizer, end_id, room), "pieces")
     return pack(cut, room, most_docs, most_cost, score).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
