@@ -11,9 +11,10 @@ EXTERNAL = "__ext__"
 
 
 def graph_nodes(procs: DataFrame) -> DataFrame:
-    """book, id, label, module, is_event_handler: one node a full name, the last procedure's where several share it."""
+    """book, id, label, module, is_event_handler, place: one node a full name, the last procedure's where several share
+    it; place is that of the first."""
     last = F.max_by(F.struct(F.col("name").alias("label"), "module", "is_event_handler"), F.struct("module_ord", "line_start"))
-    return procs.groupBy("book", F.col("fqn").alias("id")).agg(last.alias("n")).select("book", "id", "n.*")
+    return procs.groupBy("book", F.col("fqn").alias("id")).agg(last.alias("n"), F.min(F.struct("module_ord", "line_start")).alias("place")).select("book", "id", "n.*", "place")
 
 
 def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def hops_from(nodes: DataFrame, edges: DataFrame, module: str, procedure: str, d
     if direction not in ("callees", "callers", "both"):
         raise FoliateError("invalid_render_option", f"direction is callees, callers or both, not {direction}")
     named = nodes.filter((F.upper("module") == module.upper()) & (F.upper("label") == procedure.upper()))
-    frontier = named.groupBy("book").agg(F.min("id").alias("id"))
+    frontier = named.groupBy("book").agg(F.min_by("id", "place").alias("id"))
     if frontier.isEmpty():
         raise FoliateError("procedure_not_found", f"no procedure {procedure} in {module}")
     links = known_edges(nodes, edges)
@@ -67,7 +68,7 @@ def subgraph(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFr
     name; a resolved one to a node that does not survive goes. A node that handles no event and has no edge in this
     view is an orphan.
     """
-    alive = nodes.join(ids, ["book", "id"], "left_semi")
+    alive = nodes.join(ids, ["book", "id"], "left_semi").select("book", "id", "label", "module", "is_event_handler")
     ends = alive.select("book", F.col("id").alias("to_id"), F.lit(True).alias("_in"))
     out = edges.join(alive.select("book", F.col("id").alias("from_id")), ["book", "from_id"], "left_semi").join(ends, ["book", "to_id"], "left")
     out = out.filter("_in OR NOT resolved")

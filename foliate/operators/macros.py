@@ -1,7 +1,7 @@
 """Static analysis of macro source: lines, procedures, parameters, calls, references and their summary.
 
-Modules are rows (book, module_ord, module, kind, code). All steps that need line order share one partitioning by
-(book, module_ord), so the lines are exchanged once.
+Modules are rows (book, module_ord, module, kind, code). They are dealt by (book, module_ord) while they are still one
+row each; all steps that need line order are windows over that partitioning and one sort, so lines are never exchanged.
 """
 
 from __future__ import annotations
@@ -63,34 +63,59 @@ def without_continuation(raw: Column) -> Column:
     return F.regexp_replace(raw, r"(?U)_\s*$", "")
 
 
-def module_lines(modules: DataFrame) -> DataFrame:
-    """book, module_ord, module, kind, idx, line, text, original_text: logical lines, continuations joined by a space."""
-    raw = F.posexplode(F.split(F.replace("code", F.lit("\r\n"), F.lit("\n")), "\n")).alias("at", "raw")
-    rows = modules.filter("code IS NOT NULL AND code <> ''").select(*KEY, "module", "kind", raw)
-    cleaned = clean_line(F.col("raw"))
-    rows = rows.select(
-        *KEY, "module", "kind", "at", continues(F.col("raw")).alias("more"),
-        F.when(continues(F.col("raw")), F.concat(without_continuation(F.col("raw")), F.lit(" "))).otherwise(F.col("raw")).alias("original"),
-        F.when(continues(F.col("raw")), F.concat(F.when(continues(cleaned), without_continuation(cleaned)).otherwise(cleaned), F.lit(" "))).otherwise(cleaned).alias("clean"),
+#: Stands for the line break after a continued line. A noncharacter, which no decoded text holds.
+JOINT = "\uffff"
+
+
+def folded(code: Column) -> Column:
+    """The code's logical lines, as an array: lines that a continuation joins, with JOINT between."""
+    text = F.replace(code, F.lit("\r\n"), F.lit("\n"))
+    return F.split(F.regexp_replace(text, r"(?U)(?<=[\s&&[^\n]])(_[\s&&[^\n]]*)(?:\n|\z)", "$1" + JOINT), "\n")
+
+
+def joints(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(JOINT), F.lit("")))
+
+
+def logical_lines(modules: DataFrame) -> DataFrame:
+    """book, module_ord, module, kind, idx, line, text, original_text, n_lines, last_line: logical lines, continuations
+    joined by a space, with the number of the module's logical lines and where its last one begins."""
+    rows = modules.filter("code IS NOT NULL AND code <> ''").select(*KEY, "module", "kind", "code").repartition(*KEY)
+    rows = rows.withColumn("_all", folded(F.col("code")))
+    last = F.element_at("_all", -1)
+    breaks = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit("")))
+    last_line = (breaks + 1 - joints(last) + last.endswith(JOINT).cast("int")).cast("int")
+    # measured before the lines are made rows: after it, each row would carry the whole array
+    rows = rows.select(*KEY, "module", "kind", F.size("_all").alias("n_lines"), last_line.alias("last_line"), "_all")
+    rows = rows.select(*KEY, "module", "kind", "n_lines", "last_line", F.posexplode("_all").alias("idx", "_line"))
+
+    def text(whole: Column) -> Column:
+        cleaned = clean_line(whole)
+        return F.concat(F.when(continues(cleaned), without_continuation(cleaned)).otherwise(cleaned), F.lit(" "))
+
+    pieces = F.split("_line", JOINT)
+    joined = lambda body, end: F.array_join(F.transform(pieces, lambda p, i: F.when(i < F.size(pieces) - 1, body(p)).otherwise(end(p))), "")
+    is_joined = F.contains("_line", F.lit(JOINT))
+    before = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(
+        *KEY, "module", "kind", "idx", (F.col("idx") + 1 + F.coalesce(F.sum(joints(F.col("_line"))).over(before), F.lit(0))).cast("int").alias("line"),
+        F.when(is_joined, joined(text, clean_line)).otherwise(clean_line(F.col("_line"))).alias("text"),
+        F.when(is_joined, joined(lambda p: F.concat(without_continuation(p), F.lit(" ")), lambda p: p)).otherwise(F.col("_line")).alias("original_text"),
+        "n_lines", "last_line",
     )
-    before = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("idx", F.coalesce(F.sum(F.when(F.col("more"), 0).otherwise(1)).over(before), F.lit(0)).cast("int"))
-    pieces = F.sort_array(F.collect_list(F.struct("at", "clean", "original")))
-    grouped = rows.groupBy(*KEY, "module", "kind", "idx").agg((F.min("at") + 1).alias("line"), pieces.alias("p"))
-    return grouped.select(*KEY, "module", "kind", "idx", "line", F.array_join("p.clean", "").alias("text"), F.array_join("p.original", "").alias("original_text"))
 
 
-def module_status(modules: DataFrame, lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
-    """book, module_ord, module, kind, parsed, reason, n_lines: empty and over-long modules are not parsed."""
-    sizes = lines.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_lines"))
-    rows = modules.select(*KEY, "module", "kind", F.coalesce(F.col("code"), F.lit("")).alias("code")).join(sizes, KEY, "left")
-    reason = F.when(F.col("code") == "", "empty_source").when(F.col("n_lines") > most, "module_too_large")
-    return rows.select(*KEY, "module", "kind", reason.isNull().alias("parsed"), reason.alias("reason"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+def module_lines(modules: DataFrame) -> DataFrame:
+    """book, module_ord, module, kind, idx, line, text, original_text of all modules, parsed or not."""
+    return logical_lines(modules).drop("n_lines", "last_line")
 
 
-def parsed_lines(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
-    """Lines of the modules that are parsed; a count over the modules' partitioning, no exchange of its own."""
-    return lines.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).filter(F.col("_n") <= most).drop("_n")
+def module_status(modules: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """book, module_ord, module, kind, parsed, reason, n_lines: empty and over-long modules are not parsed."""
+    code = F.coalesce(F.col("code"), F.lit(""))
+    rows = modules.select(*KEY, "module", "kind", F.when(code == "", 0).otherwise(F.size(folded(code))).alias("n_lines"))
+    reason = F.when(F.col("n_lines") == 0, "empty_source").when(F.col("n_lines") > most, "module_too_large")
+    return rows.select(*KEY, "module", "kind", reason.isNull().alias("parsed"), reason.alias("reason"), "n_lines")
 
 
 def arguments(rest: Column) -> Column:
@@ -114,36 +139,45 @@ def arguments(rest: Column) -> Column:
     return F.aggregate(F.split(rest, ""), start, step)
 
 
-def procedures(lines: DataFrame) -> DataFrame:
-    """One row a procedure of parsed lines, with its window of body lines (body_start to body_end, by idx).
+def marked(lines: DataFrame) -> DataFrame:
+    """Logical lines of parsed modules with `starts` (this line opens a procedure), `is_close`, `head`, `args`, `name`
+    and `within`: the procedure whose body the line is in, or null.
 
-    A header opens a procedure only where none is open, and the first end line closes it; so of each run between end
-    lines the first header counts. Headers whose parenthesis does not close on the line are passed over. An unclosed
-    procedure runs to the module's end.
+    A header opens a procedure only where none is open, and the first end line closes it; so a header counts if the
+    last header or end line before it is an end line, or there is none. Headers whose parenthesis does not close on
+    the line are passed over. An unclosed procedure runs to the module's end.
     """
-    opened = found(F.col("text"), _OPEN, 3)
-    heads = lines.withColumn("name", opened).withColumn("is_close", F.col("text").rlike(_CLOSE))
-    rest = F.expr("substring(text, length(head) + 1)")
-    heads = heads.withColumn("head", F.when(F.col("name").isNotNull(), F.regexp_extract("text", _OPEN, 0)))
-    heads = heads.withColumn("args", F.when(F.col("head").isNotNull(), arguments(rest))).withColumn("is_open", F.coalesce("args.done", F.lit(False)))
-    order = Window.partitionBy(*KEY).orderBy("idx")
-    run = F.coalesce(F.sum(F.col("is_close").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = Window.partitionBy(*KEY)
-    heads = heads.withColumn("run", run).withColumn("last_idx", F.max("idx").over(whole)).withColumn("last_line", F.max("line").over(whole))
-    ends = Window.partitionBy(*KEY, "run")
-    first = Window.partitionBy(*KEY, "run").orderBy(F.when(F.col("is_open"), 0).otherwise(1), "idx")
-    heads = heads.withColumn("close_idx", F.min(F.when(F.col("is_close"), F.col("idx"))).over(ends)).withColumn("close_line", F.min(F.when(F.col("is_close"), F.col("line"))).over(ends))
-    procs = heads.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1 AND is_open")
-    after = F.expr("substring(text, length(head) + args.at + 1)")
+    before = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumn("name", found(F.col("text"), _OPEN, 3)).withColumn("is_close", F.col("text").rlike(_CLOSE))
+    rows = rows.withColumn("head", F.when(F.col("name").isNotNull(), F.regexp_extract("text", _OPEN, 0)))
+    rows = rows.withColumn("args", F.when(F.col("head").isNotNull(), arguments(F.expr("substring(text, length(head) + 1)"))))
+    rows = rows.withColumn("_opens", F.coalesce("args.done", F.lit(False)))
+    last = F.last(F.when(F.col("_opens"), False).when(F.col("is_close"), True), ignorenulls=True).over(before)
+    rows = rows.withColumn("starts", F.col("_opens") & F.coalesce(last, F.lit(True)))
+    here = F.struct(F.col("name").alias("proc"), F.concat_ws(".", "module", "name").alias("fqn"), F.col("line").alias("proc_line"))
+    none = F.lit(None).cast(rows.select(here.alias("p")).schema["p"].dataType)
+    inside = F.last(F.when(F.col("starts"), F.struct(here.alias("p"))).when(F.col("is_close"), F.struct(none.alias("p"))), ignorenulls=True).over(before)
+    return rows.withColumn("_inside", inside).withColumn("within", F.when(~F.col("is_close"), F.col("_inside.p"))).drop("_inside", "_opens")
+
+
+def event_handler() -> Column:
     under = F.instr("name", "_")
-    event = (F.col("kind") != "standardModule") & (under > 1) & (under < F.length("name"))
-    return procs.select(
+    return (F.col("kind") != "standardModule") & (under > 1) & (under < F.length("name"))
+
+
+def procedures(rows: DataFrame) -> DataFrame:
+    """One row a procedure of marked() lines, with its window of body lines (body_start to body_end, by idx). Among
+    the lines that start or close procedures, the one after a start is its close."""
+    order = Window.partitionBy(*KEY).orderBy("idx")
+    ends = rows.filter("starts OR is_close").withColumn("close_idx", F.lead("idx").over(order)).withColumn("close_line", F.lead("line").over(order))
+    after, event = F.expr("substring(text, length(head) + args.at + 1)"), event_handler()
+    return ends.filter("starts").select(
         *KEY, "module", F.col("kind").alias("module_kind"), "name", F.concat_ws(".", "module", "name").alias("fqn"),
         F.regexp_replace(F.regexp_extract("text", _OPEN, 2), r"(?U)\s+", "").alias("kind"),
         found(F.col("text"), _OPEN, 1).alias("scope"), found(after, _RETURN, 1).alias("return_type"),
         F.col("line").alias("line_start"), F.coalesce("close_line", "last_line").alias("line_end"), event.alias("is_event_handler"),
         F.when(event, F.substring_index("name", "_", 1)).alias("event_target"),
-        (F.col("idx") + 1).alias("body_start"), F.coalesce(F.col("close_idx") - 1, F.col("last_idx")).alias("body_end"), F.col("args.parts").alias("arguments"),
+        (F.col("idx") + 1).alias("body_start"), (F.coalesce("close_idx", "n_lines") - 1).alias("body_end"), F.col("args.parts").alias("arguments"),
     )
 
 
@@ -176,24 +210,27 @@ def parameters(procs: DataFrame) -> DataFrame:
     )
 
 
-def body_lines(lines: DataFrame, procs: DataFrame) -> DataFrame:
-    """Lines inside a procedure. Each line of a module lies in one procedure at most, the last that began before it,
-    so this is a running last value over the shared partitioning rather than a range join."""
-    starts = procs.select(*KEY, (F.col("body_start") - 1).alias("idx"), F.struct(F.col("name").alias("proc"), "fqn", "body_end", F.col("line_start").alias("proc_line")).alias("p"))
-    order = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.join(starts, [*KEY, "idx"], "left").withColumn("p", F.last("p", ignorenulls=True).over(order))
-    return rows.filter("p.body_end >= idx").select(*KEY, "module", "p.proc", "p.fqn", "p.proc_line", "idx", "line", "text", "original_text")
+def body_lines(rows: DataFrame) -> DataFrame:
+    """Lines of marked() that are inside a procedure."""
+    return rows.filter("within IS NOT NULL").select(*KEY, "module", "within.proc", "within.fqn", "within.proc_line", "idx", "line", "text", "original_text")
+
+
+def direct_call(text: Column, proc: Column) -> Column:
+    """The bare name that a line calls, or null: no assignment, no word of the language, not the procedure itself."""
+    name = found(text, _CALL, 1)
+    usable = ~text.rlike(_ASSIGN) & ~F.upper(name).isin([k.upper() for k in KEYWORDS]) & (F.upper(name) != F.upper(proc))
+    return F.when(usable, name)
 
 
 def calls(body: DataFrame) -> DataFrame:
     """Call sites before resolution: target, qualified (null for run-by-name), ord within the line."""
-    text = F.col("text")
-    run = body.select(*KEY, "module", "proc", "fqn", "proc_line", "line", F.posexplode(F.regexp_extract_all("original_text", F.lit(_RUN), 1)).alias("ord", "target"), F.lit(None).cast("boolean").alias("qualified"))
-    name = found(text, _CALL, 1)
-    usable = ~text.rlike(_ASSIGN) & name.isNotNull() & ~F.upper(name).isin([k.upper() for k in KEYWORDS]) & (F.upper(name) != F.upper("proc"))
-    member = found(text, _MEMBER, 1)
-    direct = body.filter(usable).select(*KEY, "module", "proc", "fqn", "proc_line", "line", F.lit(1_000_000).alias("ord"), F.coalesce(member, name).alias("target"), member.isNotNull().alias("qualified"))
-    return run.unionByName(direct)
+    member = found(F.col("text"), _MEMBER, 1)
+    site = lambda target, qualified, ord: F.struct(ord.alias("ord"), target.alias("target"), qualified.alias("qualified"))
+    run = F.transform(F.regexp_extract_all("original_text", F.lit(_RUN), 1), lambda t, i: site(t, F.lit(None).cast("boolean"), i))
+    name = direct_call(F.col("text"), F.col("proc"))
+    direct = F.when(name.isNotNull(), F.array(site(F.coalesce(member, name), member.isNotNull(), F.lit(1_000_000))))
+    both = F.concat(run, F.coalesce(direct, F.array().cast("array<struct<ord:int,target:string,qualified:boolean>>")))
+    return body.select(*KEY, "module", "proc", "fqn", "proc_line", "line", F.inline(both))
 
 
 def call_edges(body: DataFrame, procs: DataFrame) -> DataFrame:
@@ -204,10 +241,10 @@ def call_edges(body: DataFrame, procs: DataFrame) -> DataFrame:
     known full name in any case, and keeps its spelling.
     """
     sites = calls(body).withColumn("key", F.upper("target"))
-    first = F.min_by("fqn", F.struct("module_ord", "line_start"))
-    own = procs.groupBy("book", "module_ord", F.upper("name").alias("key")).agg(F.min_by("fqn", "line_start").alias("own_fqn"))
-    other = procs.groupBy("book", F.upper("name").alias("key")).agg(first.alias("any_fqn"))
-    known = procs.select("book", F.upper("fqn").alias("key")).distinct().withColumn("is_known", F.lit(True))
+    own = procs.groupBy("book", "module_ord", F.upper("name").alias("key")).agg(F.min_by("fqn", "line_start").alias("own_fqn"), F.min("line_start").alias("at"))
+    other = own.groupBy("book", "key").agg(F.min_by("own_fqn", F.struct("module_ord", "at")).alias("any_fqn"))
+    known = own.select("book", F.upper("own_fqn").alias("key")).distinct().withColumn("is_known", F.lit(True))
+    own = own.drop("at")
     rows = sites.join(own, ["book", "module_ord", "key"], "left").join(other, ["book", "key"], "left").join(known, ["book", "key"], "left")
     bare = F.coalesce("own_fqn", "any_fqn")
     return rows.select(
@@ -244,16 +281,16 @@ def program_kind(prog_id: Column) -> Column:
     )
 
 
-def dependencies(body: DataFrame) -> DataFrame:
-    """book, module, proc, line, dependency, target, operation: at most one a line, the first rule that matches."""
-    text, none = F.col("text"), F.lit(None).cast("string")
-    made, target = found(F.col("original_text"), _OBJECT, 1), found(F.col("original_text"), _OBJECT, 2)
+def dependency(text: Column, original: Column) -> Column:
+    """struct(dependency, target, operation) of the first rule that a line matches, or null."""
+    none = F.lit(None).cast("string")
+    made, target = found(original, _OBJECT, 1), found(original, _OBJECT, 2)
 
     def row(kind: Column | str, target: Column = none, operation: Column = none) -> Column:
         return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("dependency"), target.alias("target"), operation.alias("operation"))
 
     label = F.when(F.lower(made) == "getobject", "GetObject").otherwise("CreateObject")
-    rule = (
+    return (
         F.when(text.rlike(_SHELL), row("shell", operation=F.lit("Shell")))
         .when(text.rlike(_FILE_OPEN), row("file", operation=F.lit("Open")))
         .when(text.rlike(_FILE), row("file", operation=F.regexp_extract(text, _FILE, 1)))
@@ -261,16 +298,30 @@ def dependencies(body: DataFrame) -> DataFrame:
         .when(text.rlike(_DATABASE), row("database"))
         .when(text.rlike(_NETWORK), row("network"))
     )
+
+
+def dependencies(body: DataFrame) -> DataFrame:
+    """book, module, proc, line, dependency, target, operation: at most one a line, the first rule that matches."""
+    rule = dependency(F.col("text"), F.col("original_text"))
     return body.select(*KEY, "module", "proc", "line", rule.alias("d")).filter("d IS NOT NULL").select(*KEY, "module", "proc", "line", "d.*")
 
 
-def summary(status: DataFrame, procs: DataFrame, edges: DataFrame, refs: DataFrame, deps: DataFrame) -> DataFrame:
-    """One row a book: eight counts, 0 where a book has none."""
-    count = lambda name: F.count(F.lit(1)).alias(name)
-    out = status.groupBy("book").agg(count("modules"), F.count_if("parsed").alias("parsed_modules"), F.count_if(~F.col("parsed")).alias("unparsed_modules"))
-    for part in (procs.groupBy("book").agg(count("procedures"), F.count_if("is_event_handler").alias("event_handlers")), edges.groupBy("book").agg(count("call_edges")), refs.groupBy("book").agg(count("object_references")), deps.groupBy("book").agg(count("dependencies"))):
-        out = out.join(part, "book", "left")
-    return out.na.fill(0)
+def summary(status: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row a book: eight counts, 0 where a book has none.
+
+    All but the modules are counted in one pass over marked() lines: a call site is an edge, and each object-model
+    word is a reference, whether it has a literal or not.
+    """
+    count = lambda what, name: F.coalesce(F.sum(what), F.lit(0)).cast("long").alias(name)
+    inside = F.col("within").isNotNull()
+    sites = F.size(F.regexp_extract_all("original_text", F.lit(_RUN), 1)) + direct_call(F.col("text"), F.col("within.proc")).isNotNull().cast("int")
+    counts = rows.groupBy("book").agg(
+        count(F.col("starts").cast("int"), "procedures"), count((F.col("starts") & event_handler()).cast("int"), "event_handlers"), count(F.when(inside, sites), "call_edges"),
+        count(F.when(inside, F.size(F.regexp_extract_all("original_text", F.lit(_API_ANY), 1))), "object_references"),
+        count((inside & dependency(F.col("text"), F.col("original_text")).isNotNull()).cast("int"), "dependencies"),
+    )
+    out = status.groupBy("book").agg(F.count(F.lit(1)).alias("modules"), F.count_if("parsed").alias("parsed_modules"), F.count_if(~F.col("parsed")).alias("unparsed_modules"))
+    return out.join(counts, "book", "left").na.fill(0)
 
 
 def module_kind(entries: DataFrame, forms: DataFrame, codenames: DataFrame | None = None) -> DataFrame:
@@ -304,10 +355,10 @@ def touching_module(edges: DataFrame, module: str) -> DataFrame:
 
 def analyze(modules: DataFrame, most: int = MOST_LINES) -> dict[str, DataFrame]:
     """All results as lazy DataFrames; Spark computes only those that are read."""
-    lines = module_lines(modules)
-    parsed = parsed_lines(lines, most)
-    procs = procedures(parsed)
-    body = body_lines(parsed, procs)
-    edges, refs, deps = call_edges(body, procs), object_references(body), dependencies(body)
-    status = module_status(modules, lines, most)
-    return {"lines": lines, "status": status, "procedures": procs, "parameters": parameters(procs), "edges": edges, "references": refs, "dependencies": deps, "summary": summary(status, procs, edges, refs, deps)}
+    lines = logical_lines(modules)
+    rows = marked(lines.filter(F.col("n_lines") <= most))
+    procs, body, status = procedures(rows), body_lines(rows), module_status(modules, most)
+    return {
+        "lines": lines.drop("n_lines", "last_line"), "status": status, "procedures": procs, "parameters": parameters(procs), "edges": call_edges(body, procs),
+        "references": object_references(body), "dependencies": dependencies(body), "summary": summary(status, rows),
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import callgraph, documents, edits, macros, render, sheets
+from ..shared import kept
 from .corpus import CELLS_SQL, macro_modules, macro_sql, table, workbook_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,9 +471,9 @@ EDGE_COLUMNS = "book, from_id, to_id, resolved, module_ord, proc_line, line, ord
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, kept as a view reads them several times; lost parts are computed again."""
+    """Nodes and edges, as tables, since a view reads them several times."""
     a = _analysis(spark, sf_dir)
-    return callgraph.graph_nodes(a["procedures"]).persist(), a["edges"].persist()
+    return kept(callgraph.graph_nodes(a["procedures"]), "nodes"), kept(a["edges"], "edges")
 
 
 @query(f"{nodes_sql()}, {ALL_IDS}, {SUB_SQL} SELECT * FROM cg_nodes")
