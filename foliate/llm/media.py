@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import hot_keys, join_hot, text_of, written
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -52,16 +52,26 @@ def read_image(media: bytes) -> bytes:
     return b"".join(rows[i + 1 : i + step] for i in range(0, len(rows), step))
 
 
+#: Elements that begin or end a block of text.
+BLOCKS = frozenset("p div li h1 h2 h3 h4 h5 h6 br section article figure figcaption table ul ol blockquote header footer body".split())
+
+
 class Interleaver(HTMLParser):
-    """Ordered items of a page: (kind, text, reference, caption). A figure's caption belongs to its media; without
-    one, the alt text does. Scripts and styles are no text."""
+    """Ordered items of a page: (kind, text, reference, caption). Scripts and styles are no text.
+
+    A figure's caption, before or after them, belongs to all media of the figure; media without one have their alt
+    text. A caption without an end tag ends with its figure, or where a block begins after it has text; one of a
+    figure without media is text. A player is one medium: its own source or the first one inside it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[list[str | None]] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
-        self.figure: list[int] = []
+        self.figure: list[int] | None = None
+        self.captions: list[str] = []
+        self.player: int | None = None  # the medium of the open player, -1 while it has none
         self.silent = 0
 
     def _flush(self) -> None:
@@ -70,35 +80,71 @@ class Interleaver(HTMLParser):
             self.items.append(["text", text, None, None])
         self.text = []
 
+    def _end_caption(self) -> None:
+        if self.caption is not None:
+            caption = " ".join("".join(self.caption).split())
+            self.caption = None
+            if self.figure is None:
+                self.text.append(caption)
+                self._flush()
+            elif caption:
+                self.captions.append(caption)
+
+    def _end_figure(self) -> None:
+        self._end_caption()
+        caption = " ".join(self.captions)
+        if self.figure:
+            for i in self.figure if caption else ():
+                self.items[i][3] = caption
+        elif caption:
+            self.text.append(caption)
+        self._flush()
+        self.figure, self.captions = None, []
+
+    def _medium(self, reference: str, alt: str | None) -> int:
+        # text of an open caption stays in the caption; other text comes before the medium
+        self._flush()
+        self.items.append(["media", None, reference, alt])
+        if self.figure is not None:
+            self.figure.append(len(self.items) - 1)
+        return len(self.items) - 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = dict(attrs)
         if tag in ("script", "style"):
             self.silent += 1
-        elif tag in ("img", "audio", "video", "source") and a.get("src"):
-            self._flush()
-            self.items.append(["media", None, a["src"], a.get("alt")])
-            self.figure.append(len(self.items) - 1)
+        elif tag == "img" and a.get("src"):
+            self._medium(a["src"], a.get("alt"))
+        elif tag in ("audio", "video"):
+            self.player = self._medium(a["src"], a.get("alt")) if a.get("src") else -1
+        elif tag == "source" and a.get("src") and self.player in (None, -1):
+            found = self._medium(a["src"], a.get("alt"))
+            self.player = found if self.player == -1 else None
         elif tag == "figure":
-            self._flush()
+            self._end_figure()
             self.figure = []
         elif tag == "figcaption":
+            self._end_caption()
             self._flush()
             self.caption = []
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "section", "article"):
+        elif tag in BLOCKS:
+            if self.caption is not None and "".join(self.caption).strip():
+                self._end_caption()
             self._flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            for i in self.figure:
-                self.items[i][3] = caption
-            self.caption = None
-        elif tag in ("p", "div", "li", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"):
+        elif tag in ("audio", "video"):
+            self.player = None
+        elif tag == "figcaption":
+            self._end_caption()
+        elif tag == "figure":
+            self._end_figure()
+        elif tag in ("section", "article", "body"):
+            self._end_figure()
+        elif tag in BLOCKS:
             self._flush()
-            if tag == "figure":
-                self.figure = []
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -109,7 +155,7 @@ class Interleaver(HTMLParser):
         own = cls()
         own.feed(html)
         own.close()
-        own._flush()
+        own._end_figure()
         return own.items
 
 
@@ -122,8 +168,10 @@ def sequences(pages: DataFrame, key: str, html: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("reference", pa.string()), ("caption", pa.string())]))
         for batch in batches:
-            found = [[{"position": i, "kind": k, "text": t, "reference": r, "caption": c} for i, (k, t, r, c) in enumerate(Interleaver.of(h.as_py() or ""))] for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [key, "items"])
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                found = [[{"position": i, "kind": k, "text": t, "reference": r, "caption": c} for i, (k, t, r, c) in enumerate(Interleaver.of(h.as_py() or ""))] for h in rows.column(1)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, kind)], [key, "items"])
 
     return pages.select(key, html).mapInArrow(parse, f"{key} {pages.schema[key].dataType.simpleString()}, {ITEMS}")
 
@@ -160,7 +208,7 @@ def features(media: DataFrame) -> DataFrame:
 
         import numpy as np
 
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             rows = []
             for digest, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 media = stored.as_py()
@@ -176,11 +224,12 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(compute, FEATURES)
 
 
-def resolve(items: DataFrame, key: str, resolved: DataFrame) -> DataFrame:
+def resolve(items: DataFrame, key: str, resolved: DataFrame, hot: list | None = None) -> DataFrame:
     """key, position, kind, text, caption, digest and the columns of `resolved` (one row a digest is used) of every
-    item, by a left join on the digest that the reference `sha256:...` names; others stay unresolved."""
+    item, by a left join on the digest that the reference `sha256:...` names; others stay unresolved. Digests that
+    very many items name (`hot`; found here if not given) are joined by broadcast of their rows, fewer than 100."""
     rows = items.select(key, F.explode("items").alias("i")).select(key, "i.position", "i.kind", "i.text", "i.caption", F.when(F.col("i.reference").startswith("sha256:"), F.substring("i.reference", 8, 64)).alias("digest"))
-    return rows.join(resolved.dropDuplicates(["digest"]), "digest", "left")
+    return join_hot(rows, resolved.dropDuplicates(["digest"]), "digest", "left", hot)
 
 
 def payloads(docs: DataFrame) -> DataFrame:
@@ -198,11 +247,14 @@ def document_media(docs: DataFrame) -> DataFrame:
     Each text is a medium of its own page: the page's figure refers to it by digest. The pages are parsed into
     sequences, media are stored and read back, and a join on the digest brings both together. Payloads themselves are
     never exchanged, as the features are taken from each stored part before the join. Null texts count as empty (64
-    bytes 0); repeated rows keep a row each; extra columns are left out; an empty table gives no rows.
+    bytes 0); a text of any length is one medium; equal texts have equal values; repeated rows keep a row each; extra
+    columns are left out; an empty table gives no rows.
     """
     rows = payloads(docs)
+    hot = hot_keys(rows.select("digest"), "digest")
     read = features(store(rows))
+    read = written(read.dropDuplicates(["digest"]), "features") if hot else read
     page = F.concat(F.lit("<html><body><p>Document</p><figure><img src=\"sha256:"), F.col("digest"), F.lit("\"><figcaption>Text of "), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></body></html>"))
     keyed = rows.select(F.struct("doc_id", "n_bytes").alias("document"), page.alias("html"))
-    found = resolve(sequences(keyed, "document", "html"), "document", read).filter("kind = 'media'")
+    found = resolve(sequences(keyed, "document", "html"), "document", read, hot).filter("kind = 'media'")
     return found.select("document.doc_id", "document.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

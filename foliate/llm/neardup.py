@@ -279,7 +279,8 @@ def across(members: DataFrame, percent: int, samples: int, block: int = 256) ->
                     found.append((int(component[x[k]]), int(component[y[k]])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(meet, "a long, b long")
+    # dealt by all four: else the groups of a bucket would stay in the one task that its join put them in
+    return dealt.repartition("bucket", "kind", "i", "j").groupBy("bucket", "kind", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -150,8 +150,27 @@ def test_near_duplicates(spark, docs, none):
     assert kept.columns == docs.columns and kept.filter("doc_id in (6, 7, 8, 19)").count() == 0
 
 
-def test_chains_of_near_copies(spark):
+def test_join_hot(spark):
+    left = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 500 = 1 THEN NULL ELSE id % 50 END AS k", "id")
+    right = spark.range(40).selectExpr("id AS k", "repeat('x', CAST(id AS INT)) AS v")
+    assert common.hot_keys(left, "k") == [7]
+    for how in ("left", "inner"):
+        expected = sorted(map(tuple, left.join(right, "k", how).collect()), key=repr)
+        for more in ({}, {"size": "v"}, {"hot": [7, 3, 44]}):
+            assert sorted(map(tuple, common.join_hot(left, right, "k", how, **more).collect()), key=repr) == expected
+
+
+def test_gapless_in_parts_of_one_length(spark):
+    cut = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "CASE WHEN id % 10 = 0 THEN 5L ELSE 64L END AS length", "0L AS start", "id AS ids_crc32")
+    found = packing.pack(cut, room=64, rows_a_chunk=100).collect()
+    assert len({(r.sequence_id, r.offset) for r in found}) == 3000 and len({r.sequence_id for r in found}) == 2700 + 25
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_chains_of_near_copies(spark, monkeypatch, block):
     """A large group whose members are alike only to their neighbours: the star misses links, the blocks do not."""
+    own = neardup.across
+    monkeypatch.setattr(neardup, "across", lambda members, percent, samples: own(members, percent, samples, block))
     line = words(100).split()
     rows = [(0, " ".join(line))]
     for i in range(1, 60):
@@ -227,6 +246,18 @@ def test_media(spark, docs, none):
     html = "<p>a &amp; b</p><figure><img src='sha256:1' alt='old'><figcaption>the  cap</figcaption></figure><script>x</script>end<img src=u.png alt=z>"
     items = media.Interleaver.of(html)
     assert items == [["text", "a & b", None, None], ["media", None, "sha256:1", "the cap"], ["text", "end", None, None], ["media", None, "u.png", "z"]]
+    of = media.Interleaver.of
+    cap = ["media", None, "a.png", "cap"]
+    assert of("<figure><figcaption>cap</figcaption><img src=a.png alt=z></figure>t") == [cap, ["text", "t", None, None]]
+    assert of("<figure><img src=a.png><figcaption>cap</figure><p>later</p>text") == [cap, ["text", "later", None, None], ["text", "text", None, None]]
+    assert of("<figure><img src=a.png><figcaption>cap<p>later</p><h2>more</h2>") == [cap, ["text", "later", None, None], ["text", "more", None, None]]
+    assert of("<figure><figcaption>alone</figcaption></figure>") == [["text", "alone", None, None]] == of("<figcaption>alone</figcaption>")
+    assert of("<figure><img src=a.png><img src=b.png alt=q><figcaption>cap</figcaption></figure>") == [cap, ["media", None, "b.png", "cap"]]
+    assert of("<video><source src=a.mp4><source src=a.webm></video><audio src=b.mp3><source src=c></audio><img src=d>") == [["media", None, x, None] for x in ("a.mp4", "b.mp3", "d")]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    parsed = {r.page_id: r["items"] for r in media.sequences(pages, "page_id", "html").collect()}
+    for r in pages.collect():
+        assert [(x.position, x.kind, x.text, x.reference, x.caption) for x in parsed[r.page_id]] == [(i, *x) for i, x in enumerate(of(r.html or ""))]
     bad = bytearray(media.write_image(b"x" * 64))
     bad[50] ^= 1
     with pytest.raises(ValueError):
@@ -375,6 +406,43 @@ def test_extract_keeps_both_sides_of_asides():
         assert extract.main_text("<aside><p>only words</p></aside>", w) == "only words"
 
 
+def test_best_run_is_the_best_of_all_runs():
+    tags = [("open", "p", "p", ""), ("close", "/p", "p", ""), ("open", "ul", "ul", ""), ("open", "b", "b", ""), ("open", "article", "article", "")]
+    for _ in range(200):
+        tokens = [RNG.choice(tags) if RNG.random() < 0.6 else ("text", RNG.choice("puz"), "", "x " * RNG.randrange(5)) for _ in range(RNG.randrange(1, 25))]
+        w = extract.Weights(words={"p": 0.9, "u": -0.7}, tags={"p": -0.1, "/p": -0.2})
+        bounds = {i for i, t in enumerate(tokens) if t[2] == "article"}
+        begin = RNG.randrange(len(tokens))
+        out = {begin: min(len(tokens), begin + RNG.randrange(1, 5))} if RNG.random() < 0.5 else {}
+
+        def score(a, b):
+            inside = {i for x, y in out.items() for i in range(x, y)}
+            return sum((w.words.get(t[1], w.word) * len(t[3].split()) if t[0] == "text" else -99.0 if i in bounds else w.tags.get(t[1], w.tag)) for i, t in enumerate(tokens) if a <= i < b and i not in inside)
+
+        best, a, b = extract.best_run(tokens, w.words, w, out, bounds, -99.0, 0, len(tokens))
+        every = [score(i, j) for i in range(len(tokens) + 1) for j in range(i, len(tokens) + 1)]
+        assert abs(best - max(every)) < 1e-9 and abs(score(a, b) - best) < 1e-9
+
+
+def test_extract_learns_marks_and_reads_quoted_signs():
+    page = "<body><div class='reklame'>{a}</div><article><h1>T{i}</h1><div class='share'><p>{b}</p></div><p>{c}</p></article><div class=reklame>{a}</div></body>"
+    pages = [page.format(i=i, a=words(20), b=words(30), c=words(30)) for i in range(6)]
+    w = extract.learn(pages)
+    assert w.marks == {"reklame": True, "share": False} and not extract.learn(pages[:2]).marks
+    first, last = words(20000), words(25000)
+    made = f"<article><p>{first}</p><div class='reklame'><p>{words(30)}</p></div><div class=share>{last}</div></article><p>{words(9)}</p>"
+    assert extract.main_text(made, w) == f"{first}\n{last}"
+    for html in ('<p>one <a title="a > b" href=x>two</a> three', "<p>one <a title='a > b'>two</a> three", '<p>one <a title="a b>two</a> three', "<p a'b>one two three"):
+        assert extract.main_text(html, w) == "one two three"
+    assert extract.main_text("<p>5 < 6 and <3", w) == "5 < 6 and <3"
+
+
+def test_extract_of_repeated_pages(spark):
+    rows = [(1, "u", "<p>same text</p>")] * 3 + [(None, None, "<p>same text</p>")]
+    found = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS n_chars", "'x' AS TEXT_2")).collect()
+    assert [(r.text, r.n_chars) for r in found] == [("same text", 9)] * 4
+
+
 def plain_best_fit(lengths, room):
     left = []
     for n in sorted(lengths, reverse=True):
