@@ -104,12 +104,14 @@ def parse_a1(reference: str) -> tuple[int, int, int, int]:
 
 def markdown_heading(line: Column) -> tuple[Column, Column]:
     """(level, text) of an ATX heading line; level 0 where it is none."""
+    # fixed value: what counts as a heading
     pattern = r"(?Ud)^\s*(#{1,6})\s+(.+?)\s*#*\s*$"
     return F.length(F.regexp_extract(line, pattern, 1)), F.regexp_extract(line, pattern, 2)
 
 
 def without_inline_marks(text: Column) -> Column:
     """Bold, italic and link marks of Markdown removed, in this order."""
+    # fixed values: the marks, in the order in which they go
     text = F.regexp_replace(text, r"(?d)\*\*(.+?)\*\*", "$1")
     text = F.regexp_replace(text, r"(?d)\*(.+?)\*", "$1")
     return F.regexp_replace(text, r"(?d)\[([^\]]+)\]\([^)]+\)", "$1")
@@ -118,6 +120,7 @@ def without_inline_marks(text: Column) -> Column:
 def italic_spans(text: Column) -> Column:
     """Distinct texts in single asterisks outside fenced code."""
     plain = F.regexp_replace(text, r"(?s)```.*?```", "")
+    # fixed value: what counts as emphasis
     found = F.regexp_extract_all(plain, F.lit(r"(?d)(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)"), 1)
     return F.array_distinct(F.filter(F.transform(found, lambda x: without_inline_marks(trimmed(x))), lambda x: x != ""))
 

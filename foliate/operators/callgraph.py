@@ -82,7 +82,27 @@ def subgraph(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFr
 
 
 def at_most(nodes: DataFrame, most: int = 300) -> DataFrame:
-    """nodes, or an error if a view has more; counting stops one beyond the limit."""
-    if (n := nodes.limit(most + 1).count()) > most:
-        raise FoliateError("graph_too_large", f"the view has {n} nodes or more; at most {most} are drawn")
+    """nodes, or an error if any book's view has more than `most`."""
+    over = nodes.groupBy("book").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).orderBy("book").first()
+    if over is not None:
+        raise FoliateError("graph_too_large", f"the view of {over.book} has {over.n} nodes; at most {most} are drawn")
     return nodes
+
+
+def view(analysis: dict[str, DataFrame], module: str | None = None, procedure: str | None = None, depth: int = 2, direction: str = "both", most: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) to draw: all, a module with its neighbours, or hops from a procedure. Options are looked at before
+    anything is read, and the view's size before it is given back."""
+    given = lambda x: bool(x and x.strip())
+    if given(procedure) and not given(module):
+        raise FoliateError("invalid_render_option", "a procedure needs its module")
+    if given(procedure) and direction not in ("callees", "callers", "both"):
+        raise FoliateError("invalid_render_option", f"direction is callees, callers or both, not {direction}")
+    nodes, edges = graph_nodes(analysis["procedures"]), analysis["edges"]
+    if given(module) and analysis["status"].filter(F.upper("module") == module.upper()).isEmpty():
+        raise FoliateError("module_not_found", f"no module {module}")
+    if given(procedure):
+        ids = hops_from(nodes, edges, module, procedure, depth, direction)
+    else:
+        ids = module_view(nodes, edges, module) if given(module) else nodes.select("book", "id")
+    alive, kept = subgraph(ids, nodes, edges)
+    return at_most(alive, most), kept

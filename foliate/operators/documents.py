@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import heading_level, null_if_blank, revision_kind, trimmed, without_breaks
+from ..functions.strings import count_words, heading_level, null_if_blank, null_if_unset, revision_kind, trimmed, without_breaks
 
 
 def paragraphs_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,3 +85,30 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.posexplode(tags).alias("pos", "tag"))
     style = F.concat(F.lit("Heading "), F.regexp_extract("tag", r"(?i)^<h([1-6])", 1))
     return rows.select("page_id", "pos", style.alias("style"), F.regexp_replace("tag", r"<[^>]*>", "").alias("text"))
+
+
+# fixed values: names of the properties in the files, and of the columns that they become
+WORD_PROPERTIES = {"creator": "author", "title": "title", "subject": "subject", "keywords": "keywords", "created": "created", "modified": "modified"}
+BOOK_PROPERTIES = WORD_PROPERTIES | {"lastModifiedBy": "last_modified_by", "description": "description", "category": "category", "Application": "application", "Company": "company", "Manager": "manager"}
+
+
+def metadata(properties: DataFrame, names: dict[str, str], numbers: dict[str, str] | None = None) -> DataFrame:
+    """path and a typed column a property of (path, name, value): blank texts are null, moments are timestamps (null
+    where the file has none), numbers integers."""
+    text = lambda n: null_if_blank(F.max(F.when(F.col("name") == n, F.col("value"))))
+    moment = lambda n: null_if_unset(text(n).try_cast("timestamp_ntz"))
+    columns = [(moment(n) if c in ("created", "modified") else text(n)).alias(c) for n, c in names.items()]
+    return properties.groupBy("path").agg(*columns, *(text(n).try_cast("int").alias(c) for n, c in (numbers or {}).items()))
+
+
+def word_metadata(properties: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """path, six properties, revision, page_count (the file's own) and word_count (of its paragraphs)."""
+    words = paragraphs.groupBy("path").agg(F.sum(count_words(F.col("text"))).cast("int").alias("word_count"))
+    found = metadata(properties, WORD_PROPERTIES, {"revision": "revision", "Pages": "page_count"})
+    return words.join(found, "path", "left").select("path", *WORD_PROPERTIES.values(), "revision", "page_count", "word_count")
+
+
+def book_metadata(properties: DataFrame, cells: DataFrame) -> DataFrame:
+    """path, twelve properties and sheet_count."""
+    sheets = cells.groupBy("path").agg(F.count_distinct("sheet_idx").cast("int").alias("sheet_count"))
+    return sheets.join(metadata(properties, BOOK_PROPERTIES), "path", "left").select("path", *BOOK_PROPERTIES.values(), "sheet_count")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FoliateError, fail_when
-from ..functions.strings import json_texts, markdown_heading, trimmed, without_inline_marks
+from ..functions.strings import english_style, italic_spans, json_texts, markdown_heading, trimmed, without_inline_marks
 
 
 def java_quote(text: str) -> str:
@@ -18,10 +17,10 @@ def java_quote(text: str) -> str:
 def find_replace(text: Column, find: str, replace: str, regex: bool = False, match_case: bool = False) -> tuple[Column, Column]:
     """(new text, number of replacements). Literal search ignores case unless match_case."""
     if regex:
-        try:
-            re.compile(find)
-        except re.error as e:
-            raise FoliateError("io_error", f"bad pattern: {e}") from e
+        try:  # by the engine that will run it
+            SparkSession.active()._jvm.java.util.regex.Pattern.compile(find)
+        except IllegalArgumentException as e:
+            raise FoliateError("io_error", f"bad pattern: {find}") from e
         pattern, new = find if match_case else f"(?iu){find}", replace
     else:
         pattern = java_quote(find) if match_case else f"(?iu){java_quote(find)}"
@@ -109,3 +108,43 @@ def append_markdown(paragraphs: DataFrame, added: DataFrame, key: str = "doc_id"
     last = paragraphs.groupBy(key).agg((F.max("pos") + 1).alias("_n"))
     new = markdown_paragraphs(added, key).join(last, key, "left").withColumn("pos", (F.col("pos") + F.coalesce("_n", F.lit(0))).cast("int")).drop("_n")
     return paragraphs.select(key, "pos", "style", "text").unionByName(new.select(key, "pos", "style", "text"))
+
+
+def styled_headings(paragraphs: DataFrame, headings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """paragraphs (key, pos, style, text) with heading styles by an ordered match to headings (key, pos, level, text).
+
+    One pass over a document's paragraphs in order: each is held against the next heading that is still to be found,
+    takes its style if its trimmed text is the same, and then the heading after it is next. So a heading that never
+    comes leaves all later ones without effect. A document is one row here, as it is in a file.
+    """
+    own = paragraphs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "style", "text"))).alias("p"))
+    wanted = headings.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "level", "text"))).alias("h"))
+    rows = own.join(wanted, key, "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<pos:int,level:int,text:string>>")))
+    # the places of the paragraphs that met a heading, in order: the n-th met the n-th heading
+    met = F.aggregate(F.transform("p", lambda p: trimmed(p["text"])), F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("at")),
+                      lambda a, t: F.struct((a["i"] + 1).alias("i"), F.when(t == F.get("h", F.size(a["at"]))["text"], F.array_append(a["at"], a["i"])).otherwise(a["at"]).alias("at")), lambda a: a["at"])
+    rows = rows.withColumn("met", met)
+    n = lambda i: F.array_position("met", i).cast("int") - 1
+    style = lambda p, i: F.when(F.array_contains("met", i), F.concat(F.lit("Heading "), F.get("h", n(i))["level"].cast("string"))).otherwise(p["style"])
+    out = rows.select(key, F.explode(F.transform("p", lambda p, i: F.struct(p["pos"].alias("pos"), style(p, i).alias("style"), p["text"].alias("text")))).alias("x"))
+    return out.select(key, "x.pos", "x.style", "x.text")
+
+
+def italic_runs(paragraphs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, pos, run_no, text, italic: paragraphs cut into runs, where every occurrence, in any case, of a document's
+    spans (key, spans: an array of texts) is italic. Of spans that begin at one place the longest counts."""
+    order = lambda a: F.array_sort(a, lambda x, y: F.length(y) - F.length(x))
+    quoted = F.array_join(F.transform(order(F.filter("spans", lambda s: s != "")), lambda s: F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|")
+    rows = paragraphs.join(spans.select(key, quoted.alias("_any")), key, "left")
+    found = F.concat(F.lit("(?isu)"), F.col("_any"), F.lit("|.+?(?="), F.col("_any"), F.lit("|\\z)"))
+    pieces = F.when(F.coalesce("_any", F.lit("")) == "", F.array("text")).otherwise(F.regexp_extract_all("text", found, F.lit(0)))
+    is_span = F.concat(F.lit("(?isu)^(?:"), F.col("_any"), F.lit(")$"))
+    cut = rows.select(key, "pos", "_any", is_span.alias("_is"), F.posexplode(pieces).alias("run_no", "text"))
+    return cut.select(key, "pos", "run_no", "text", F.when(F.coalesce("_any", F.lit("")) == "", False).otherwise(F.regexp_like("text", F.col("_is"))).alias("italic"))
+
+
+def normalised_markdown(docs: DataFrame, key: str = "doc_id", column: str = "markdown") -> tuple[DataFrame, DataFrame]:
+    """(paragraphs, runs) of Markdown documents: paragraphs with English heading styles, runs with italics."""
+    paragraphs = markdown_paragraphs(docs, key, column)
+    paragraphs = paragraphs.withColumn("style", english_style(F.col("style")))
+    return paragraphs, italic_runs(paragraphs, docs.select(key, italic_spans(F.col(column)).alias("spans")), key)

@@ -338,14 +338,16 @@ def module_kind(entries: DataFrame, forms: DataFrame, codenames: DataFrame | Non
 
 
 def only_module(rows: DataFrame, modules: DataFrame, name: str | None, column: str = "module") -> DataFrame:
-    """Rows of the module of that name in any case; a blank name leaves all, an unknown one is an error."""
+    """Rows of the module of that name in any case, in each book; a blank name leaves all, one that a book lacks is an
+    error."""
     if name is None or not name.strip():
         return rows
-    own = modules.filter(F.upper("module") == name.upper()).select("module").first()
-    if own is None:
-        some = ", ".join(r[0] for r in modules.select("module").distinct().orderBy("module").limit(50).collect())
-        raise FoliateError("module_not_found", f"no module {name}; there are: {some}")
-    return rows.filter(F.col(column) == own[0])
+    own = modules.filter(F.upper("module") == name.upper()).groupBy("book").agg(F.min_by("module", "module_ord").alias("_own"))
+    lacking = modules.select("book").distinct().join(own, "book", "left_anti").orderBy("book").first()
+    if lacking is not None:
+        some = ", ".join(r[0] for r in modules.filter(F.col("book") == lacking.book).select("module").distinct().orderBy("module").limit(50).collect())
+        raise FoliateError("module_not_found", f"no module {name} in {lacking.book}; there are: {some}")
+    return rows.join(own, "book").filter(F.col(column) == F.col("_own")).drop("_own")
 
 
 def touching_module(edges: DataFrame, module: str) -> DataFrame:

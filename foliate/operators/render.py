@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FoliateError
 from ..functions.strings import dot_string, mangled, mermaid_label
+from . import callgraph
 
 # fixed values: what the two formats begin and end with
 HEAD = {"mermaid": ["flowchart TD"], "dot": ["digraph G {", "  rankdir=TB;", "  node [shape=box];"]}
@@ -32,12 +33,23 @@ def _node(format: str, full_label: bool) -> Column:
     return F.concat(dot_string(F.col("id")), F.lit(" [label="), dot_string(text), style, F.lit("];"))
 
 
-def render(nodes: DataFrame, edges: DataFrame, format: str = "mermaid", layout: str = "clustered") -> DataFrame:
-    """book, rendered: lines by (section, place), joined in order. Modules come by name, externals after them."""
+def checked(format: str, layout: str) -> None:
     if format not in HEAD:
         raise FoliateError("invalid_render_option", f"format is mermaid or dot, not {format}")
     if layout not in ("clustered", "flat"):
         raise FoliateError("invalid_render_option", f"layout is clustered or flat, not {layout}")
+
+
+def render_view(analysis: dict[str, DataFrame], format: str = "mermaid", layout: str = "clustered", **view: object) -> DataFrame:
+    """book, rendered of a view of an analysis (see callgraph.view(), which also keeps the limit on nodes). Format, then
+    layout, then the view's options are checked before anything is read."""
+    checked(format, layout)
+    return render(*callgraph.view(analysis, **view), format, layout)
+
+
+def render(nodes: DataFrame, edges: DataFrame, format: str = "mermaid", layout: str = "clustered") -> DataFrame:
+    """book, rendered: lines by (section, place), joined in order. Modules come by name, externals after them."""
+    checked(format, layout)
     clustered = layout == "clustered"
     row = lambda section, group, place, text: F.struct(F.lit(section).alias("s"), group.alias("g"), F.lit(place).alias("p") if isinstance(place, int) else place.alias("p"), text.alias("t"))
     none = F.lit("")

@@ -36,20 +36,28 @@ def by_name(cells: DataFrame, name: str | None, index: int = 0) -> DataFrame:
 
 
 def require_sheet(cells: DataFrame, name: str | None, index: int = 0) -> DataFrame:
+    """by_name(), where every book must have that sheet."""
     out = by_name(cells, name, index)
-    if out.isEmpty():
-        raise FoliateError("sheet_not_found", f"no sheet {name}") if name and name.strip() else FoliateError("index_out_of_range", f"no sheet {index}")
+    lacking = cells.select("book").distinct().join(out.select("book").distinct(), "book", "left_anti").orderBy("book").first()
+    if lacking is not None:
+        raise FoliateError("sheet_not_found", f"no sheet {name} in {lacking.book}") if name and name.strip() else FoliateError("index_out_of_range", f"no sheet {index} in {lacking.book}")
     return out
 
 
-def read_cells(cells: DataFrame, reference: str | None = None, formulas: bool = True, most: int = 50_000) -> DataFrame:
-    """Cells of an A1 range with their address. The range's size is checked before anything is read."""
+def read_cells(cells: DataFrame, reference: str | None = None, formulas: bool = True, most: int | None = 50_000) -> DataFrame:
+    """Cells of an A1 range with their address, or of each sheet's used range. Before any cell is given back, the size
+    of the range, or of the largest used range of one sheet, is held against `most`."""
     out = cells
     if reference:
         r0, c0, r1, c1 = parse_a1(reference)
-        if (n := (r1 - r0 + 1) * (c1 - c0 + 1)) > most:
+        if most is not None and (n := (r1 - r0 + 1) * (c1 - c0 + 1)) > most:
             raise FoliateError("range_too_large", f"{reference} has {n} cells; at most {most} are read")
         out = cells.filter(F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
+    elif most is not None:
+        size = (F.max("r") - F.min("r") + 1).cast("long") * (F.max("c") - F.min("c") + 1)
+        over = cells.groupBy("book", "sheet").agg(size.alias("n")).filter(F.col("n") > most).orderBy("book", "sheet").first()
+        if over is not None:
+            raise FoliateError("range_too_large", f"sheet {over.sheet} of {over.book} has {over.n} cells; at most {most} are read")
     formula = F.col("formula") if formulas else F.lit(None).cast("string")
     return out.select("book", "sheet", "r", "c", a1_cell(F.col("r"), F.col("c")).alias("address"), "value_type", "v_num", "v_text", formula.alias("formula"))
 
@@ -64,10 +72,13 @@ def read_rows(cells: DataFrame) -> DataFrame:
 
 
 def list_formulas(cells: DataFrame, values: bool = False, most: int | None = 10_000) -> DataFrame:
-    """book, sheet_idx, sheet, r, c, address, formula (and value_type, v_num, v_text). More than `most` are an error."""
+    """book, sheet_idx, sheet, r, c, address, formula (and value_type, v_num, v_text). A book of more than `most` is an
+    error."""
     out = cells.filter("formula IS NOT NULL")
-    if most is not None and out.limit(most + 1).count() > most:
-        raise FoliateError("range_too_large", f"more than {most} formulas")
+    if most is not None:
+        over = out.groupBy("book").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).orderBy("book").first()
+        if over is not None:
+            raise FoliateError("range_too_large", f"{over.book} has {over.n} formulas; at most {most} are listed")
     return out.select("book", "sheet_idx", "sheet", "r", "c", a1_cell(F.col("r"), F.col("c")).alias("address"), "formula", *(["value_type", "v_num", "v_text"] if values else []))
 
 

@@ -152,6 +152,24 @@ def md_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.markdown_paragraphs(_values(spark, ("# A\n\nx *y*", "z\n## B")).withColumnRenamed("text", "markdown"), "id")
 
 
+@query(f"""WITH {LINES}, c AS (SELECT doc_id, pos, text, unnest(regexp_extract_all(text, '(?i)ing|(?i)the')) AS t FROM lines) SELECT doc_id, CAST(pos AS INT) AS pos, lower(t) AS text, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY ALL""")
+def md_italic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = doc(spark, sf_dir).select("doc_id", F.array(F.lit("the"), F.lit("ING"), F.lit("")).alias("spans"))
+    runs = edits.italic_runs(documents.paragraphs_of(doc(spark, sf_dir)), spans)
+    return runs.filter("italic").groupBy("doc_id", "pos", F.lower("text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH RECURSIVE {LINES}, h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, CAST(1 + pos % 3 AS INT) AS level, {TRIM.format('text')} AS want FROM lines WHERE pos % 2 = 1),
+walk AS (SELECT doc_id, -1 AS pos, CAST(1 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS style FROM (SELECT DISTINCT doc_id FROM lines)
+  UNION ALL SELECT w.doc_id, l.pos, CASE WHEN h.want = {TRIM.format('l.text')} THEN w.k + 1 ELSE w.k END, CASE WHEN h.want = {TRIM.format('l.text')} THEN 'Heading ' || h.level END
+  FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.pos = w.pos + 1 LEFT JOIN h ON h.doc_id = w.doc_id AND h.k = w.k)
+SELECT w.doc_id, CAST(w.pos AS INT) AS pos, w.style, l.text FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.pos = w.pos""")
+def md_styled_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents.paragraphs_of(doc(spark, sf_dir))
+    wanted = rows.filter("pos % 2 = 1").select("doc_id", "pos", (F.col("pos") % 3 + 1).cast("int").alias("level"), S.trimmed(F.col("text")).alias("text"))
+    return edits.styled_headings(rows, wanted)
+
+
 # ---- edits -----------------------------------------------------------------------------------------------------
 
 
@@ -425,11 +443,11 @@ def vba_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark, sf_dir)["dependencies"]
 
 
-@query("""SELECT book, module, CAST(type AS INT) AS type, kind FROM (VALUES ('b', 'Mod1', 33, 'standardModule'), ('b', 'FORM1', 34, 'userForm'), ('b', 'thisworkbook', 34, 'documentModule'), ('b', 'Blad1', 34, 'documentModule'), ('b', 'Sheet9', 34, 'classModule')) v(book, module, type, kind)""")
+@query("""SELECT book, module, CAST(type AS INT) AS type, kind FROM (VALUES ('b', 'Mod1', 33, 'standardModule'), ('b', 'FORM1', 34, 'userForm'), ('b', 'thisworkbook', 34, 'documentModule'), ('b', 'Ark1', 34, 'documentModule'), ('b', 'Sheet9', 34, 'classModule')) v(book, module, type, kind)""")
 def vba_module_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame([("b", n, t) for n, t in (("Mod1", 0x21), ("FORM1", 0x22), ("thisworkbook", 0x22), ("Blad1", 0x22), ("Sheet9", 0x22))], "book string, module string, type int")
+    entries = spark.createDataFrame([("b", n, t) for n, t in (("Mod1", 0x21), ("FORM1", 0x22), ("thisworkbook", 0x22), ("Ark1", 0x22), ("Sheet9", 0x22))], "book string, module string, type int")
     names = lambda *x: spark.createDataFrame([("b", n) for n in x], "book string, name string")
-    return macros.module_kind(entries, names("Form1"), names("ThisWorkbook", "BLAD1"))
+    return macros.module_kind(entries, names("Form1"), names("ThisWorkbook", "ARK1"))
 
 
 @query(f"""{edges_sql()}, {REFS_SQL}, {DEPS_SQL}

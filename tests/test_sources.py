@@ -11,9 +11,29 @@ from foliate.sources import office_files as O
 from foliate.sources.compound import CompoundFile, write_compound
 
 
-@pytest.mark.parametrize("data,text", [("0108B0004142434445464748", "ABCDEFGH"), ("010BB00061626364656667680 0696A".replace(" ", ""), "abcdefghij"), ("0104B00441420000", "ABBBB"), ("01043048656C6C6F", "Hello")])
+def container(*parts):
+    """One compressed chunk of literal bytes and copies (back, n)."""
+    items, done = [], 0
+    for part in parts:
+        if isinstance(part, bytes):
+            items += [part[i : i + 1] for i in range(len(part))]
+            done += len(part)
+        else:
+            items.append(struct.pack("<H", part[0] - 1 << V.length_bits(done) | part[1] - 3))
+            done += part[1]
+    body = b"".join(bytes([sum((len(x) == 2) << k for k, x in enumerate(items[at : at + 8]))]) + b"".join(items[at : at + 8]) for at in range(0, len(items), 8))
+    return b"\x01" + struct.pack("<H", 0xB000 | len(body) - 1) + body
+
+
+LONG = "".join(f"line {i} of the module\n" for i in range(900))
+
+
+@pytest.mark.parametrize("data,text", [
+    (container(b"End Sub"), "End Sub"), (container(b"tick tock ", (10, 9), b"!"), "tick tock tick tock!"), (container(b"-", (1, 40)), "-" * 41),
+    (container(bytes(range(40, 90)), (50, 30), (3, 7)), "".join(map(chr, [*range(40, 90), *range(40, 70)])) + "CDECDEC"), (V.compress_literal(LONG.encode()), LONG), (b"\x01", ""),
+])
 def test_decompress(data, text):
-    assert V.decompress(bytes.fromhex(data)) == text.encode()
+    assert V.decompress(data) == text.encode()
 
 
 @pytest.mark.parametrize("data", ["", "000000", "010800"])
