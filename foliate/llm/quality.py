@@ -130,12 +130,18 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the base measures, base_failed and kept of every whole text."""
+    """doc_id, the base measures, base_failed and kept of every whole text.
+
+    Null and empty texts have no words and fail the base; a text of any length is measured whole; a text exactly at a
+    rule's limit passes it; equal texts are judged alike and repeated rows one by one; extra columns are left out; an
+    empty table gives no rows.
+    """
     return judged(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns.
+    """The rows of docs that pass, with all their columns; nulls, long texts and repeated rows as in quality(). Columns
+    named like this operator's own keep their values, and an empty table stays empty.
 
     Rows pass by an outer explode, as a plain filter would be pushed below the measures and make them twice.
     """

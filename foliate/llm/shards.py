@@ -75,7 +75,8 @@ def shard_documents(docs: DataFrame, regions: int = 4, racks: int = 3, shards: i
     """doc_id, size, text_crc32, law, shard, slot, grown_shard by the law `key`.
 
     A null text has size 8 and the check sum of the empty text; null ids share one shard; repeated rows get a slot
-    each; extra columns are left out; an empty table gives no rows. Texts never move: sizes and check sums are taken
+    each; a text of any length is measured whole; of children with equal draws the first wins; extra columns are left
+    out; an empty table gives no rows. Texts never move: sizes and check sums are taken
     in the scan, and only these are exchanged for the slots.
     """
     now = tree(regions, racks, shards)
