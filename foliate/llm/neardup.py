@@ -213,8 +213,9 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def across(members: DataFrame, percent: int, samples: int, block: int = 256) -> DataFrame:
-    """a, b: components of linked members of one bucket that were apart, of (bucket, node, component, sketch, bands, shingles).
+def across(members: DataFrame, own: DataFrame, sets: DataFrame, percent: int, samples: int, block: int = 256) -> DataFrame:
+    """a, b: components of linked members of one bucket that were apart, of (bucket, node, component), with each node's
+    sketch and bands in `own` and its shingles in `sets`. Members are dealt into their groups before their sets join.
 
     Most of a large bucket is one component, and its members need not be held against each other. So the bucket's
     largest component is dealt into parts of about `block` members, and so are all its other members; each part of the
@@ -237,7 +238,7 @@ def across(members: DataFrame, percent: int, samples: int, block: int = 256) ->
     with_bulk = F.transform(up_to("bulk_parts"), lambda i: place("bulk", i, F.col("part")))
     among = F.transform(up_to("rest_parts"), lambda o: place("rest", F.least("part", o), F.greatest("part", o)))
     dealt = dealt.withColumn("at", F.explode(F.when(is_bulk, with_rest).otherwise(F.concat(with_bulk, among))))
-    dealt = dealt.select("bucket", "at.kind", "at.i", "at.j", F.when(is_bulk, -1).otherwise(F.col("part")).alias("part"), "node", "component", "sketch", "bands", "shingles")
+    dealt = dealt.select("bucket", "at.kind", "at.i", "at.j", F.when(is_bulk, -1).otherwise(F.col("part")).alias("part"), "node", "component").join(own, "node").join(sets, "node")
     most = most_differing(percent / 100, samples)
 
     def meet(group: pa.Table) -> pa.Table:
@@ -329,8 +330,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     placed = members.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    apart = written(join_hot(placed, mixed, "bucket", hot=hot), "apart").join(own, "node").join(sets, "node")
-    second = components(across(apart, percent, bands * ROWS)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    apart = written(join_hot(placed, mixed, "bucket", hot=hot), "apart")
+    second = components(across(apart, own, sets, percent, bands * ROWS)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
 
     labels = first.unionByName(second.select(F.col("component").alias("node"), "component")).distinct()
     labels = labels.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component")).filter("component <> node")
