@@ -131,3 +131,28 @@ def test_module_filter(spark):
     assert macros.only_module(a["procedures"], a["status"], "m").count() == 1
     with pytest.raises(FoliateError, match="module_not_found"):
         macros.only_module(a["procedures"], a["status"], "x")
+
+
+def test_graph_tables_are_those_of_the_analysis_from_one_table(spark):
+    """Nested brackets, array parameters, quotes and run-by-name beside headers that are cut at once; a view of one
+    module takes the books that have it in any case, and no others."""
+    cases = [modules for modules, _ in CALLS] + [
+        [std('Sub Q(a() As Long, Optional b = F(1, 2), c)\nApplication.Run "X": Prepare\nEnd Sub\nSub Broken(a, b\nSub Prepare()\nQ 1\nCall Q(2)\nEnd Sub\nPrepare')],
+        [("Sheet1", "documentModule", "Sub Go_Click(a, b)\ny = 'Application.Run \"Z\"\nGo_Click\nQ\nEnd Sub\nSub Go_Click()\nQ(1)\nEnd Sub")],
+    ]
+    rows = [(str(n), i, *module) for n, modules in enumerate(cases) for i, module in enumerate(modules)]
+    modules = spark.createDataFrame(rows, "book string, module_ord int, module string, kind string, code string")
+    whole, kept = macros.analyze(modules), []
+
+    def keep(df, label):
+        kept.append(label)
+        return df
+
+    graph = macros.graph_tables(modules, keep)
+    assert kept == ["calls"]
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(*a.columns).collect()), key=repr)
+    assert same(graph["edges"], whole["edges"])
+    assert same(graph["procedures"], whole["procedures"])
+    books = lambda most: {r.book for r in macros.of_books_with(modules, "rEpOrT", most).collect()}
+    assert books(1000) == books(0) == {b for b, _, name, *_ in rows if name == "Report"}
+    assert macros.of_books_with(modules, "absent").isEmpty()
