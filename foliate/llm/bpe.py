@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, text_of
+from .common import by_size, sole, text_of
 
 #: Each row is a token of a word with the token after it. One step finds each word's pair of least rank (of equal
 #: ones the leftmost, as the position is part of the number that is compared), contracts it, and ends for words
@@ -60,7 +60,7 @@ _CODERS: dict[tuple, Coder] = {}
 
 
 def coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _CODERS:
+    if (path, pattern) not in sole(_CODERS):
         _CODERS[path, pattern] = Coder(path, pattern)
     return _CODERS[path, pattern]
 

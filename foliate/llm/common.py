@@ -130,7 +130,31 @@ UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+#: What operators keep with this Python worker, if they have run there.
+_KEPT: list[dict] = []
+
+
+def sole(own: dict) -> dict:
+    """own, what an operator keeps with this worker, while all that others kept here is let go: workers outlive stages,
+    and a stage's words are no use to the next."""
+    if not any(k is own for k in _KEPT):
+        _KEPT.append(own)
+    others = [k for k in _KEPT if k and k is not own]
+    for other in others:
+        other.clear()
+    if others:
+        import ctypes
+        import gc
+
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return own
+
+
 def encoder(path: str, width: int = 4) -> Encoder:
+    sole(_ENCODERS)
     if (path, width) not in _ENCODERS:
         _ENCODERS[path, width] = Encoder(path, width)
     return _ENCODERS[path, width]

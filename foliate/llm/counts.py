@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, text_of
+from .common import by_size, sole, text_of
 
 #: The pre-token pattern of the byte-level tokenizer files (a fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -18,7 +18,7 @@ _COUNTERS: dict[str, PieceCounter] = {}
 
 def counter(path: str) -> PieceCounter:
     """This worker's counter for a tokenizer file; later tasks find its pre-tokens already counted."""
-    if path not in _COUNTERS:
+    if path not in sole(_COUNTERS):
         _COUNTERS[path] = PieceCounter(path)
     return _COUNTERS[path]
 

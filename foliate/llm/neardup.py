@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, text_of, written
+from .common import discard, join_hot, sole, text_of, written
 
 ROWS = 5
 SKETCH_BITS = 512
@@ -55,7 +55,7 @@ _SHINGLERS: dict[int, Shingler] = {}
 
 
 def shingler(k: int) -> Shingler:
-    return _SHINGLERS.setdefault(k, Shingler(k))
+    return sole(_SHINGLERS).setdefault(k, Shingler(k))
 
 
 class Signer:

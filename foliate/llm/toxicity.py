@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, share_of_hash, text_of
+from .common import by_size, share_of_hash, sole, text_of
 
 #: Punctuation that is cut from the ends of a word.
 EDGES = ".,;:!?\"'()[]{}…«»“”‘’¡¿*#%$&|-_"
@@ -163,7 +163,7 @@ class Scorer:
         key = sha256(model.odds.tobytes()).digest()
         if key not in _SCORES:
             _SCORES.clear()
-        self.known = _SCORES.setdefault(key, {})
+        self.known = sole(_SCORES).setdefault(key, {})
 
     def score(self, text: str) -> float:
         words, known = words_of(text), self.known
@@ -203,10 +203,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model)
         for batch in batches:
-            found = [own.score(t) for run in by_size((t.as_py() for t in batch.column(1))) for t in run]
+            texts = batch.column(0).field("text").cast(pa.string()).fill_null("")
+            found = [own.score(t) for run in by_size(t.as_py() for t in texts) for t in run]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 

@@ -492,3 +492,14 @@ def test_bins_hold_every_capacity(score, caps):
     assert sorted(placed) == sorted(lengths)
     with pytest.raises(ValueError):
         bins.add(101, 1)
+
+
+def test_a_worker_keeps_one_operators_words():
+    common.encoder(BYTE).encode(["a word"])
+    scorer = toxicity.Scorer(toxicity.Model(np.zeros(8, np.float32), 0.0))
+    scorer.score("a word")
+    assert toxicity._SCORES and not common._ENCODERS
+    neardup.shingler(3)("a word")
+    assert neardup._SHINGLERS[3].known and not toxicity._SCORES
+    assert neardup.shingler(3).known  # its own stay
+    assert common.encoder(BYTE).encode(["a word"]) and not neardup._SHINGLERS
