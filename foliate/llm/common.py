@@ -234,7 +234,6 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -246,10 +245,17 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, own.special))) if own.special else None
         self.spaced = not own.suffix
         self.ranks = tiktoken.Encoding("own", pat_str=SPACED_PATTERN, mergeable_ranks=own.ranks, special_tokens={}) if self.spaced else None
-        self.find = regex.compile(WORD_PATTERN).findall
+        self.find = usual_words().findall
         if own.suffix:
             import numpy as np
-
+            from tokenizers import normalizers, pre_tokenizers
+
+            # for pieces alone: they are cut and in lower case, so neither is looked for again
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith(own.suffix)]] = True
@@ -278,7 +284,9 @@ class Encoder:
         known.update(zip(new, self._pieces(new), strict=True))
         known.update(zip(plain, map(known.__getitem__, plain.values()), strict=True))
         known.update([(w, b"".join([known[p] for p in its])) for w, its in many.items()])
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        # a table of these texts' words alone: lookups in all that are kept would each miss the processor's cache
+        own = dict(zip(used, map(known.__getitem__, used), strict=True))
+        out = [b"".join(map(own.__getitem__, words)) for words in cut]
         for word in [w for w in missing if len(w) > 100]:
             for w in (word, plain.get(word), *many.get(word, ())):
                 known.pop(w, None)
@@ -291,7 +299,7 @@ class Encoder:
 
         if not pieces:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(pieces) or ends[-1] != len(ids):
             return self._library(pieces)
@@ -304,6 +312,18 @@ class Encoder:
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+
+def usual_words() -> re.Pattern:
+    """WORD_PATTERN for texts without unusual characters, in lower case: their letters and numbers named one by one,
+    the kinds in another order, as no two but the contractions and the signs begin alike."""
+    import unicodedata
+
+    usual = {x for c in map(chr, range(0x20AD)) if not UNUSUAL.match(c) for x in (c, c.lower())}
+    of_kind = lambda kind: "".join(sorted(c for c in usual if unicodedata.category(c[0])[0] == kind))
+    letters, numbers = of_kind("L"), of_kind("N")
+    return re.compile(rf"[{letters}]+|[{numbers}]|'(?:[stmd]|re|ve|ll)|[^\s{letters}{numbers}]+")
+
+
 _SURE: set[str] = set()
 
 

@@ -142,8 +142,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, to
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "n_docs": pa.array([len(docs)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "before": pa.array([before], pa.int64()), "payload": pa.array([segment(docs, arrays, width)], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64)
                 for doc, ids in zip(rows.column(0).to_pylist(), own.encode(rows.column(1).to_pylist()), strict=True):
                     docs.append(doc)
                     arrays.append(ids + end)

@@ -503,3 +503,16 @@ def test_a_worker_keeps_one_operators_words():
     assert neardup._SHINGLERS[3].known and not toxicity._SCORES
     assert neardup.shingler(3).known  # its own stay
     assert common.encoder(BYTE).encode(["a word"]) and not neardup._SHINGLERS
+
+
+def test_usual_words_are_cut_as_the_pattern_cuts_them():
+    import regex
+
+    usual = [c for c in map(chr, range(0x20AD)) if not common.UNUSUAL.match(c)]
+    signs = ["'s", "'ll", "'re", "''t", "x'd", " ", "\n", "²", "½", "_", "9", "Ⱥ"]
+    texts = ["".join(usual).lower(), *("".join(RNG.choice(signs if RNG.random() < 0.5 else usual) for _ in range(40)) for _ in range(2000))]
+    own, theirs = common.usual_words(), regex.compile(common.WORD_PATTERN)
+    for text in texts:
+        assert own.findall(text.lower()) == theirs.findall(text.lower())
+    ids = [e.ids for e in Tokenizer.from_file(WORD).encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in common.encoder(WORD, 2).encode(texts)] == ids
