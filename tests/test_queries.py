@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
-WHOLE = ["cg_nodes_all"]
+WHOLE = ["cg_nodes_all", "cg_module"]
 
 
 @pytest.fixture(scope="module")
