@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
-WHOLE = ["cg_nodes_all", "cg_module"]
+WHOLE = ["cg_nodes_all", "cg_module", "cg_module_edges"]
 
 
 @pytest.fixture(scope="module")
