@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
-WHOLE = ["cg_nodes_all", "cg_module", "cg_module_edges", "cg_bfs_both"]
+WHOLE = ["cg_nodes_all", "cg_module", "cg_module_edges", "cg_bfs_both", "cg_render_mermaid"]
 
 
 @pytest.fixture(scope="module")
